@@ -7,7 +7,7 @@ from importlib.util import find_spec
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, packing, quality, secrets, simhash
+from logloom.llm import chat, embeddings, licenses, mixing, packing, quality, secrets, sharding, simhash, warc
 from logloom.llm._spark import table
 
 
@@ -17,11 +17,34 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.match(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    tokenizer = byte_tokenizer()
+    forest = chat.prefix_forest(turns.unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")), tokenizer)
+    return chat.read_back(forest, tokenizer)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +53,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.resolved(warc.read_archives(index))
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, word_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -56,11 +88,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scans": op1_license_scans,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash": op3_simhash,
+    "op4_sharding": op4_sharding,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op10_secret_scans": secrets.oracle_sql()}
+ORACLE_SQL = {"op1_license_scans": licenses.oracle_sql(), "op8_warc": warc.oracle_sql(), "op10_secret_scans": secrets.oracle_sql()}
