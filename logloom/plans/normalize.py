@@ -67,8 +67,8 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
     """
     parsers = [*sorted((p for p in dynamic if p.active), key=lambda p: p.name), *[p for p in NATIVE if p.active]]
     raw_line, line, received = F.col("raw_message"), F.col("line"), F.col("received_at")
-    hashed = raw.withColumns({"raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
-    hashed = hashed.withColumn("key", _hex_id(F.col("raw_hash"), F.col("source"), received.cast("string"), F.col("ingest_seq")))
+    hashed = raw.withColumns({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
+    hashed = hashed.withColumn("key", _hex_id(F.col("raw_hash"), F.col("source"), F.unix_micros(received), F.col("ingest_seq")))
     fmt = F.coalesce(F.col("class.format"), F.lit("UNKNOWN"))
     route = F.when(raw_line.isNull(), -1)
     for i, p in enumerate(parsers):

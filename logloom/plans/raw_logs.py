@@ -30,6 +30,9 @@ def lines_sql(string_type: str) -> str:
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(raw_message, source, received_at, ingest_seq)"""
-    table(spark, sf_dir, "events").createOrReplaceTempView("logloom_events")
+    # Lines cost far more to parse than to read: a small table is spread over all cores.
+    events = table(spark, sf_dir, "events")
+    cores = spark.sparkContext.defaultParallelism
+    (events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)).createOrReplaceTempView("logloom_events")
     rows = spark.sql(lines_sql("STRING").replace("FROM events", "FROM logloom_events"))
-    return rows.selectExpr("raw_message", "'DERIVED' AS source", "ts AS received_at", "event_id AS ingest_seq")
+    return rows.selectExpr("raw_message", "'DERIVED' AS source", "CAST(ts AS TIMESTAMP) AS received_at", "event_id AS ingest_seq")
