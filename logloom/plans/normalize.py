@@ -80,7 +80,9 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
         body = F.when(here, p.parse(work.of(f"{i}", here), raw_line, line, received)).otherwise(body)
     for layer in sorted(work.layers):
         parsed = parsed.withColumns(work.layers[layer])
-    parsed = parsed.withColumns({"p": body, "raw_low": F.lower(raw_line)})
+    # Filters on parsed fields stay above this projection: moved below it, they would repeat the parsers for every field. The
+    # partition's number, which is never negative, is what keeps the optimizer from moving them.
+    parsed = parsed.withColumns({"p": F.when(F.spark_partition_id() >= 0, body), "raw_low": F.lower(raw_line)})
     by_route = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("route") + 1) if parsers else F.lit(None).cast("string")
     named = lambda values: F.when(F.col("route") >= 0, by_route(values))
     p = lambda k: F.col(f"p.{k}")
