@@ -138,7 +138,8 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 MOST_KNOWN = 10_000  # known texts at most: their digests are broadcast
 
-_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)\s*[0-9]|©|all rights reserved)[^\n]*"
+# A line that names a year or holder, not one that merely begins with the word: "copyright holders be liable" is part of a text.
+_COPYRIGHT = r"(?m)^[^\p{L}\p{N}\n©(]*(?:copyright[:,]?[ \t]*(?:\(c\)|©|[0-9]{4}|by\b)|\(c\)[ \t]*(?:copyright|[0-9]{4})|©|all rights reserved)[^\n]*"
 _JOINERS = r"[^\p{L}\p{N}\n]+"
 
 
