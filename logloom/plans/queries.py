@@ -85,8 +85,12 @@ _PARSED = "seq, action, severity, severity_id, src_ip, spt, dst_ip, dpt, proto,
 
 
 def _parsed(spark, sf_dir, name: str) -> DataFrame:
+    return _parsed_columns(normalized(spark, sf_dir).where(F.col("parser_name") == name))
+
+
+def _parsed_columns(rows: DataFrame) -> DataFrame:
     c = F.col
-    return normalized(spark, sf_dir).where(c("parser_name") == name).select(
+    return rows.select(
         SEQ, c("event.action").alias("action"), c("event.severity").alias("severity"), c("event.severity_id").alias("severity_id"), c("source.ip").alias("src_ip"), c("source.port").alias("spt"),
         c("destination.ip").alias("dst_ip"), c("destination.port").alias("dpt"), c("network.protocol").alias("proto"), c("source.user").alias("usr"), c("observer.vendor").alias("vendor"), c("observer.product").alias("product"),
         c("observer.version").alias("version"), c("observer.hostname").alias("observer_host"), c("event.type").alias("type"), c("network.direction").alias("direction"), c("timestamp_text").alias("time_text"),

@@ -28,11 +28,15 @@ def lines_sql(string_type: str) -> str:
     return f"WITH base AS ({BASE.format(S=string_type)}) {LINES.format(S=string_type)}"
 
 
-def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(raw_message, source, received_at, ingest_seq)"""
+def lines_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """(raw_message, source, received_at, ingest_seq) of a statement over ``events`` that gives event_id, ts and raw_message."""
     # Lines cost far more to parse than to read: a small table is spread over all cores.
     events = table(spark, sf_dir, "events")
     cores = spark.sparkContext.defaultParallelism
     (events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)).createOrReplaceTempView("logloom_events")
-    rows = spark.sql(lines_sql("STRING").replace("FROM events", "FROM logloom_events"))
+    rows = spark.sql(sql.replace("FROM events", "FROM logloom_events"))
     return rows.selectExpr("raw_message", "'DERIVED' AS source", "CAST(ts AS TIMESTAMP) AS received_at", "event_id AS ingest_seq")
+
+
+def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_table(spark, sf_dir, lines_sql("STRING"))
