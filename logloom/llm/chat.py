@@ -195,7 +195,9 @@ def prefix_forest(turns: DataFrame, tokenizer: str) -> Forest:
     ancestors = ancestors.groupBy(F.col("conv_id").alias("c")).agg(spans.alias("ancestors"))
     laid = laid.join(ancestors, F.col("segment").eqNullSafe(F.col("c")), "left").select(F.col("segment").alias("s"), "tree", "segment_start", F.col("position").alias("segment_position"), "ancestors")
     inside = running_totals(nodes.select("segment", "depth", "node", "n_tokens"), ["segment"], ["depth", "node"], "n_tokens", "inside")
-    placed = nodes.join(inside.select(F.col("node").alias("n"), "inside"), F.col("node") == F.col("n")).join(laid, F.col("segment").eqNullSafe(F.col("s")))
+    # Places are put together before the tokens join them, so that tokens are shuffled once, by node, as read_back needs them.
+    places = inside.select(F.col("node").alias("n"), F.col("segment").alias("own"), "inside").join(laid, F.col("own").eqNullSafe(F.col("s"))).drop("own", "s")
+    placed = nodes.join(places, F.col("node") == F.col("n"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
     nodes = placed.select(
         "tree", "node", "segment", "depth", (F.col("segment_start") + F.col("inside")).alias("start"), "n_tokens", "ids", "loss_from", "loss_to",
