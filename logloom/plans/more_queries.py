@@ -11,7 +11,7 @@ from logloom.operators import correlate, infer, lineage, search, sigma
 from logloom.operators.export import escaped
 from logloom.plans.normalize import events, normalize
 from logloom.plans.oracle import detected, expected
-from logloom.plans.queries import _KNOWN, SEQ, _batches, _detections, _parsed_columns, normalized, query, stored
+from logloom.plans.queries import _KNOWN, _batches, _detections, _parsed_columns, normalized, query, seq, stored
 from logloom.plans.raw_logs import BASE, lines_table, raw_logs
 from logloom.sources.tables import materialised, table
 
@@ -160,7 +160,7 @@ def exp4_escaped(spark, sf_dir):
 @query(expected("SELECT seq, event_uid, raw_uid FROM e"))
 def ids(spark, sf_dir):
     rows = normalized(spark, sf_dir)
-    return rows.select(SEQ, F.col("event_id").alias("event_uid"), F.col("raw_event_id").alias("raw_uid"))
+    return rows.select(seq(), F.col("event_id").alias("event_uid"), F.col("raw_event_id").alias("raw_uid"))
 
 
 @query(expected("SELECT (SELECT count(*) FROM n) AS stored, (SELECT count(*) FROM e WHERE code <> 'NORMAL') AS quarantined"))

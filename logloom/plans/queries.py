@@ -54,7 +54,8 @@ def _as_of(spark: SparkSession, sf_dir: str):
     return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 
-SEQ = F.col("ingest_seq").alias("seq")
+def seq():
+    return F.col("ingest_seq").alias("seq")
 
 
 @query(expected("SELECT format, action, severity, count(*) AS n FROM n GROUP BY ALL"))
@@ -64,7 +65,7 @@ def flagship_events_by_action(spark, sf_dir):
 
 @query(expected("SELECT seq, hash AS raw_hash FROM e"))
 def lin1_raw_hash(spark, sf_dir):
-    return raw_logs(spark, sf_dir).select(SEQ, raw_hash(F.col("raw_message")).alias("raw_hash"))
+    return raw_logs(spark, sf_dir).select(seq(), raw_hash(F.col("raw_message")).alias("raw_hash"))
 
 
 @query(
@@ -91,7 +92,7 @@ def _parsed(spark, sf_dir, name: str) -> DataFrame:
 def _parsed_columns(rows: DataFrame) -> DataFrame:
     c = F.col
     return rows.select(
-        SEQ, c("event.action").alias("action"), c("event.severity").alias("severity"), c("event.severity_id").alias("severity_id"), c("source.ip").alias("src_ip"), c("source.port").alias("spt"),
+        seq(), c("event.action").alias("action"), c("event.severity").alias("severity"), c("event.severity_id").alias("severity_id"), c("source.ip").alias("src_ip"), c("source.port").alias("spt"),
         c("destination.ip").alias("dst_ip"), c("destination.port").alias("dpt"), c("network.protocol").alias("proto"), c("source.user").alias("usr"), c("observer.vendor").alias("vendor"), c("observer.product").alias("product"),
         c("observer.version").alias("version"), c("observer.hostname").alias("observer_host"), c("event.type").alias("type"), c("network.direction").alias("direction"), c("timestamp_text").alias("time_text"),
     )
@@ -154,7 +155,7 @@ def enr4_techniques(spark, sf_dir):
 
 @query(expected("SELECT seq, rule_id, rule_title, severity, technique_id, tactic FROM matches"))
 def sig6_matches(spark, sf_dir):
-    return stored(spark, sf_dir).select(SEQ, F.inline("threat.sigma_matches")).drop("matched_details")
+    return stored(spark, sf_dir).select(seq(), F.inline("threat.sigma_matches")).drop("matched_details")
 
 
 @query(expected("SELECT severity, count(*) AS n, count(DISTINCT rule_id) AS rules FROM matches WHERE severity IN ('high', 'critical') GROUP BY ALL"))
@@ -174,12 +175,12 @@ def scr1_confidence(spark, sf_dir):
     CASE code WHEN 'UNPARSEABLE_FORMAT' THEN 'UNKNOWN' ELSE format END AS detected_format, 'NEW' AS status FROM e WHERE code <> 'NORMAL'""")
 )
 def dlq1_quarantine(spark, sf_dir):
-    return quarantine(normalized(spark, sf_dir)).select(SEQ, "failure_code", "failure_reason", "detected_format", "status")
+    return quarantine(normalized(spark, sf_dir)).select(seq(), "failure_code", "failure_reason", "detected_format", "status")
 
 
 @query(expected("SELECT seq, code AS failure_code FROM e WHERE code <> 'NORMAL' ORDER BY ts DESC, seq DESC LIMIT 50"))
 def dlq3_recent(spark, sf_dir):
-    return search.newest(quarantine(normalized(spark, sf_dir)), "created_at", 50, "ingest_seq").select(SEQ, "failure_code")
+    return search.newest(quarantine(normalized(spark, sf_dir)), "created_at", 50, "ingest_seq").select(seq(), "failure_code")
 
 
 @query(expected("SELECT CASE WHEN kind = 7 THEN 'RESOLVED_ON_RETRY' ELSE 'RETRIED' END AS status, CAST(1 AS INTEGER) AS retry_count, count(*) AS n FROM e WHERE code <> 'NORMAL' GROUP BY ALL"))
@@ -193,13 +194,13 @@ def dlq4_retry(spark, sf_dir):
 @query(expected("SELECT seq, event_uid, src_ip, dpt FROM n WHERE action = 'blocked' AND severity = 'high' AND format = 'SYSLOG' AND occurred >= make_timestamp(2020, 1, 1, 0, 0, 0.0)"))
 def fil1_event_search(spark, sf_dir):
     found = search.search_events(stored(spark, sf_dir), action="BLOCKED", severity="High", fmt="SYSLOG", since=datetime(2020, 1, 1))
-    return found.select(SEQ, F.col("event_id").alias("event_uid"), F.col("source.ip").alias("src_ip"), F.col("destination.port").alias("dpt"))
+    return found.select(seq(), F.col("event_id").alias("event_uid"), F.col("source.ip").alias("src_ip"), F.col("destination.port").alias("dpt"))
 
 
 @query(expected("SELECT seq, action FROM n ORDER BY occurred DESC, seq DESC LIMIT 25 OFFSET 25"))
 def srt3_event_page(spark, sf_dir):
     rows, _ = search.page(stored(spark, sf_dir), "timestamp_utc", 1, 25, "ingest_seq")
-    return rows.select(SEQ, F.col("event.action").alias("action"))
+    return rows.select(seq(), F.col("event.action").alias("action"))
 
 
 @query(expected("SELECT seq, raw_uid, hash AS recomputed_hash, true AS verified, CAST(octet_length(encode(raw)) AS BIGINT) AS raw_bytes FROM n"))
@@ -207,13 +208,13 @@ def lin2_integrity(spark, sf_dir):
     rows = normalized(spark, sf_dir)
     raw = rows.select("raw_event_id", "raw_message", "raw_hash")
     found = lineage.integrity(events(rows), raw).join(rows.select("event_id", "ingest_seq"), "event_id")
-    return found.select(SEQ, F.col("raw_event_id").alias("raw_uid"), "recomputed_hash", "verified", "raw_bytes")
+    return found.select(seq(), F.col("raw_event_id").alias("raw_uid"), "recomputed_hash", "verified", "raw_bytes")
 
 
 @query(expected("SELECT seq, raw AS stored_message, code FROM n"))
 def jon1_event_with_raw(spark, sf_dir):
     rows = normalized(spark, sf_dir)
-    return search.with_raw(events(rows), rows.select("raw_event_id", "raw_message", "raw_hash")).select(SEQ, "stored_message", F.col("outcome.code").alias("code"))
+    return search.with_raw(events(rows), rows.select("raw_event_id", "raw_message", "raw_hash")).select(seq(), "stored_message", F.col("outcome.code").alias("code"))
 
 
 def _batches(spark, sf_dir) -> DataFrame:
@@ -278,7 +279,7 @@ def jon5_incident_members(spark, sf_dir):
     found = materialised(_detections(spark, sf_dir), "detections")
     rows = stored(spark, sf_dir)
     details = search.incident_details(correlate.members(found, correlate.incidents(found)), rows, sigma.alerts(rows))
-    return details.join(rows.select("event_id", "ingest_seq"), "event_id").select("incident_key", SEQ, F.coalesce(F.array_join("rule_ids", ","), F.lit("")).alias("rules"))
+    return details.join(rows.select("event_id", "ingest_seq"), "event_id").select("incident_key", seq(), F.coalesce(F.array_join("rule_ids", ","), F.lit("")).alias("rules"))
 
 
 @query(
@@ -388,7 +389,7 @@ _WIRE = "CASE WHEN usr IS NOT NULL THEN concat('{u}=', usr, '{s}') ELSE '' END"
     'dst=', dst_ip, ' dpt=', dpt, ' proto=', proto, ' act=', action, ' rawHash=', hash, ' externalId=', event_uid) AS wire FROM n JOIN message USING (seq)""")
 )
 def exp1_cef(spark, sf_dir):
-    return stored(spark, sf_dir).select(SEQ, export.to_wire("CEF").alias("wire"))
+    return stored(spark, sf_dir).select(seq(), export.to_wire("CEF").alias("wire"))
 
 
 @query(
@@ -396,7 +397,7 @@ def exp1_cef(spark, sf_dir):
     'dst=', dst_ip, chr(9), 'dstPort=', dpt, chr(9), 'proto=', proto, chr(9), 'action=', action, chr(9), 'eventId=', event_uid) AS wire FROM n""")
 )
 def exp2_leef(spark, sf_dir):
-    return stored(spark, sf_dir).select(SEQ, export.to_wire("leef").alias("wire"))
+    return stored(spark, sf_dir).select(seq(), export.to_wire("leef").alias("wire"))
 
 
 @query(
@@ -404,7 +405,7 @@ def exp2_leef(spark, sf_dir):
 )
 def exp3_ecs(spark, sf_dir):
     at = lambda path, name: F.get_json_object("wire", path).alias(name)
-    rows = stored(spark, sf_dir).select(SEQ, export.to_wire("ecs").alias("wire"))
+    rows = stored(spark, sf_dir).select(seq(), export.to_wire("ecs").alias("wire"))
     return rows.select(
         "seq", at("$.event.id", "id"), at("$['@timestamp']", "at"), at("$.source.ip", "src_ip"), at("$.source.port", "spt"), at("$.source.user.name", "usr"), at("$.network.transport", "transport"), at("$.network.direction", "direction"),
         at("$.event.original", "original"), at("$.event.hash.sha256", "sha256"), at("$.threat.technique.id", "technique"), at("$.threat.tactic.name", "tactic"), at("$.observer.vendor", "vendor"),
