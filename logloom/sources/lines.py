@@ -12,10 +12,12 @@ from logloom.functions.text import blank
 
 
 def as_raw(df: DataFrame, message: str = "raw_message", source: str = "REST", received: Column | None = None) -> DataFrame:
-    """Raw lines of a DataFrame; null and blank ones are dropped. Lines are numbered as they come, which tells equal lines apart."""
+    """Raw lines of a DataFrame; null and blank ones are dropped. Lines are numbered as they come, which tells equal lines
+    apart; those of a stream are numbered by the gateway, in each micro-batch."""
     rows = df.where(~blank(F.col(message)))
     when = received if received is not None else F.current_timestamp()
-    return rows.select(F.col(message).alias("raw_message"), F.lit(source).alias("source"), when.alias("received_at"), F.monotonically_increasing_id().alias("ingest_seq"))
+    rows = rows.select(F.col(message).alias("raw_message"), F.lit(source).alias("source"), when.alias("received_at"))
+    return rows if df.isStreaming else rows.withColumn("ingest_seq", F.monotonically_increasing_id())
 
 
 def read_lines(spark: SparkSession, path: str, source: str = "FILE", received: Column | None = None) -> DataFrame:
@@ -49,15 +51,19 @@ class _Datagrams(SimpleDataSourceStreamReader):
     """Reads what has come in since the last call, up to a bound; the driver holds no more than one such batch."""
 
     def __init__(self, options: dict):
-        self._socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
-        self._socket.bind((options.get("host", "0.0.0.0"), int(options.get("port", 1514))))
-        self._socket.settimeout(float(options.get("wait", 0.2)))
-        self._most, self._kept = int(options.get("maxPerBatch", 10_000)), {}
+        # Spark makes readers that it never reads from, so the port is bound by the first read.
+        self._socket, self._kept = None, {}
+        self._at = (options.get("host", "0.0.0.0"), int(options.get("port", 1514)))
+        self._wait, self._most = float(options.get("wait", 0.2)), int(options.get("maxPerBatch", 10_000))
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict):
+        if self._socket is None:
+            self._socket = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+            self._socket.bind(self._at)
+            self._socket.settimeout(self._wait)
         rows = []
         try:
             while len(rows) < self._most:

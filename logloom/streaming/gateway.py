@@ -35,6 +35,8 @@ def run(
     line is dropped for being late: there is no event-time state."""
 
     def each(rows: DataFrame, batch: int) -> None:
+        if "ingest_seq" not in rows.columns:
+            rows = rows.withColumn("ingest_seq", F.monotonically_increasing_id())
         write_batch(normalize(rows, config, rules, dynamic()), batch, out)
 
     writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
