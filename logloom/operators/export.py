@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Canonical fields and their names in the Elastic Common Schema.
 ECS = {
@@ -15,6 +16,9 @@ ECS = {
     "threat.techniqueId": "threat.technique.id", "threat.techniqueName": "threat.technique.name", "threat.tactic": "threat.tactic.name", "threat.riskScore": "threat.indicator.confidence",
     "raw.message": "event.original", "rawHashSha256": "event.hash.sha256",
 }
+#: The schema's version and the categories of events.
+SCHEMA_VERSION = "1.1.0-ocsf"
+CATEGORIES = ("network_traffic", "authentication", "system_activity", "security_finding")
 VENDOR, PRODUCT, VERSION = "Logloom", "Gateway", "1.0"
 
 
@@ -70,6 +74,18 @@ def to_ecs() -> Column:
     return F.to_json(document)
 
 
+def taxonomy(schema: StructType) -> dict:
+    """What the normalized table holds: version, categories, the type of every field, and the names in ECS."""
+
+    def fields(kind: StructType, prefix: str = "") -> dict[str, str]:
+        found = {}
+        for f in kind.fields:
+            found |= fields(f.dataType, f"{prefix}{f.name}.") if isinstance(f.dataType, StructType) else {prefix + f.name: f.dataType.simpleString()}
+        return found
+
+    return {"schema_version": SCHEMA_VERSION, "categories": list(CATEGORIES), "fields": fields(schema), "ecs_aliases": dict(ECS)}
+
+
 def to_wire(kind: Column | str, vendor: str = VENDOR, product: str = PRODUCT) -> Column:
     """By name of the format, in any case; unknown names give ECS."""
     name = F.lower(kind if isinstance(kind, Column) else F.lit(kind))

@@ -129,6 +129,21 @@ def verify(proven: DataFrame, sealed: DataFrame) -> DataFrame:
     return joined.withColumn("verified", good).withColumn("status_message", text)
 
 
+def inclusion(wanted: DataFrame, rows: DataFrame, leaves: DataFrame, sealed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, batch_number, leaf_index, verified, status_message) for wanted ids, which may be those of events or of raw lines."""
+    known = rows.select(F.explode(F.array_compact(F.array("event_id", "raw_event_id"))).alias("id"), "raw_event_id")
+    found = wanted.select("id").join(known, "id", "left").join(leaves.select("raw_event_id", "batch_number", "leaf_index"), "raw_event_id", "left")
+    places = found.where("leaf_index is not null").select("batch_number", "leaf_index").distinct()
+    proven = verify(proofs(leaves.select("batch_number", "leaf_index", "hash"), places, nodes), sealed).select("batch_number", "leaf_index", "verified", "status_message")
+    joined = found.join(proven, ["batch_number", "leaf_index"], "left")
+    status = (
+        F.when(F.col("raw_event_id").isNull(), F.concat(F.lit("Event not found: "), F.col("id")))
+        .when(F.col("leaf_index").isNull(), "Not in a batch yet")
+        .otherwise(F.col("status_message"))
+    )
+    return joined.select("id", "batch_number", "leaf_index", F.coalesce("verified", F.lit(False)).alias("verified"), status.alias("status_message"))
+
+
 def audit_bundle(sealed: DataFrame, leaves: DataFrame) -> DataFrame:
     """One JSON document for each sealed batch: what was recorded, and whether its leaves still give the root."""
     again = roots(leaves).select("batch_number", F.col("merkle_root").alias("recomputed_root"), F.col("event_count").alias("leaf_count"))

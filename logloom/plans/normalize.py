@@ -20,7 +20,6 @@ from logloom.plans.config import Config
 
 #: The order in which native parsers are asked.
 NATIVE = (SYSLOG, JSON, CEF_LEEF, CSV_KV)
-SCHEMA_VERSION = "1.1.0-ocsf"
 
 
 def raw_hash(raw: Column) -> Column:

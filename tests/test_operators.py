@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.functions.text import bsd_time, internal
-from logloom.operators import correlate, drift, infer, lineage, metrics
+from logloom.operators import correlate, drift, export, infer, lineage, metrics
 from logloom.sources import lines
 
 
@@ -48,6 +48,18 @@ def test_trees_and_proofs(spark):
     assert bad.where("verified").count() == 0
 
 
+def test_inclusion(spark):
+    rows = spark.createDataFrame([("e1", "r1", sha("1")), ("e2", "r2", sha("2")), (None, "r3", sha("3"))], "event_id string, raw_event_id string, raw_hash string")
+    raw = rows.where("raw_event_id <> 'r3'").withColumn("received_at", F.current_timestamp()).withColumn("ingest_seq", F.xxhash64("raw_event_id"))
+    leaves = lineage.seal(raw)
+    assert sorted((r.raw_event_id, r.hash) for r in leaves.collect()) == [("r1", sha("1")), ("r2", sha("2"))]
+    wanted = spark.createDataFrame([("e1",), ("r2",), ("r3",), ("x",)], "id string")
+    found = {r.id: (r.verified, r.status_message) for r in lineage.inclusion(wanted, rows, leaves, lineage.roots(leaves)).collect()}
+    assert found == {"e1": (True, "Inclusion proof VERIFIED"), "r2": (True, "Inclusion proof VERIFIED"), "r3": (False, "Not in a batch yet"), "x": (False, "Event not found: x")}
+    more = lineage.seal(rows.withColumn("received_at", F.current_timestamp()).withColumn("ingest_seq", F.lit(0)), leaves)
+    assert [(r.batch_number, r.leaf_index, r.raw_event_id) for r in more.collect()] == [(2, 0, "r3")]
+
+
 def test_integrity(spark):
     raw = spark.createDataFrame([("r1", "é", sha("é")), ("r2", "b", sha("x"))], "raw_event_id string, raw_message string, raw_hash string")
     rows = spark.createDataFrame([("e1", "r1", sha("é").upper(), "p", "1"), ("e2", "r2", sha("b"), "p", "1"), ("e3", "r3", sha("c"), "p", "1")], "event_id string, raw_event_id string, raw_hash string, parser_name string, parser_version string")
@@ -147,6 +159,11 @@ def test_sources(spark, tmp_path):
     assert [r.raw_message for r in lines.from_bulk(bulk).collect()] == ["a", "b", "c"]
 
 
+def test_taxonomy(spark):
+    told = export.taxonomy(spark.range(1).select(F.struct(F.lit("a").alias("ip")).alias("source"), F.lit(1).alias("n")).schema)
+    assert told["fields"] == {"source.ip": "string", "n": "int"} and len(told["ecs_aliases"]) == 25
+
+
 def test_latency(spark):
     df = spark.createDataFrame([(float(i), i) for i in range(300)], "v double, at long")
     r = metrics.latency(df, "v", "at").first()
