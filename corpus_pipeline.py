@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import mixing, packing, quality, secrets, simhash
+from logloom.llm import mixing, quality, secrets, simhash
 from logloom.llm._spark import table, written
 from logloom.llm.queries import packed_pieces
 
