@@ -21,12 +21,13 @@ from logloom.llm._components import connected_components
 from logloom.llm._spark import text_rows, word_blocks, written
 
 SEED = 42
+WIDTH = 3  # words of a shingle
 RADIUS = 2
 PARTS = 4  # parts of the 64 bits that are counted on their own; more parts make smaller tiles
 TILE = 4096  # fingerprints held at once by a task; larger tiles are split
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """The 64-bit fingerprint of a text; null and texts without words have 0."""
     counts, total, tail = np.zeros(64, np.int64), 0, []
     for block in word_blocks((text or "").encode().lower()):
@@ -51,15 +52,16 @@ def _add(counts: np.ndarray, hashes: list[int]) -> np.ndarray:
     return counts + bits.sum(axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, fp long): the fingerprint of each row, as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, row_col: str | None = None) -> DataFrame:
+    """(doc_id long, fp long): the fingerprint of each row, as a signed long; with ``row_col`` (a long) also row."""
+    rows = [F.col(row_col).alias("row")] if row_col else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_rows(batches, 256):
-            fps = np.array([fingerprint(t) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps), *part.columns[2:]], ["doc_id", "fp", "row"][: part.num_columns])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col), *rows).mapInArrow(run, "doc_id long, fp long" + (", row long" if rows else ""))
 
 
 def _steps(parts: int, radius: int) -> list[tuple[int, ...]]:
@@ -149,7 +151,8 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile
     """
     width = 64 // parts
     base = width + 1 + 2 * radius
-    cell = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit((1 << width) - 1))) + radius for i in range(parts)]
+    mask = (1 << width) - 1 if parts > 1 else -1
+    cell = [F.bit_count(F.shiftrightunsigned("fp", i * width).bitwiseAND(F.lit(mask))) + radius for i in range(parts)]
     code = lambda step: sum((c + s) * base**i for i, (c, s) in enumerate(zip(cell, step, strict=True)))
     home = prints.select("fp", code((0,) * parts).cast("long").alias("cell"))
     cells = home.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("splits"))
@@ -167,7 +170,7 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, parts: int = PARTS, tile
     return rows.mapInArrow(_compare(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, tile: int = TILE) -> DataFrame:
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, width: int = WIDTH) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fp (signed), component_id.
 
     component_id is the smallest id that is reached over fingerprints within ``radius`` bits, the
@@ -175,7 +178,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     it has no ids. Null, empty and wordless texts have fingerprint zero and link like any other.
     Repeated rows give repeated results; an empty table gives no rows; other columns are ignored.
     """
-    own = written(fingerprints(docs, id_col, text_col), "prints")
+    own = written(fingerprints(docs, id_col, text_col, width), "prints")
     prints = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = near_edges(prints.select("fp"), radius, parts, tile)
     reached = connected_components(edges)
@@ -186,8 +189,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(known, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay."""
-    kept = simhash_components(docs, id_col, text_col).where("doc_id = component_id").select("doc_id").distinct()
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, width: int = WIDTH) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; rows without an id stay.
+
+    A wide ``radius`` needs few ``parts``: the tiles that a fingerprint visits grow with the radius to the power of the parts.
+    """
+    kept = simhash_components(docs, id_col, text_col, radius, parts, tile, width).where("doc_id = component_id").select("doc_id").distinct()
     match = F.col(id_col) == F.col("__kept")
     return docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.select(F.col("doc_id").alias("__kept")), match, "left_semi"))

@@ -72,3 +72,16 @@ def test_odd_rows(spark):
     assert got == [(-1, 4), (1, 1), (2, 1), (4, 4), (4, 4), (5, 1)]
     assert simhash.simhash_components(docs.limit(0)).count() == 0
     assert sorted(r.fp for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3, 4, 4]
+
+
+def test_width_and_radius(spark):
+    """Texts of 5-word Jaccard 0.87: their fingerprints of 3 words are 8 bits apart, those of 5 words 4 bits."""
+    words = [f"w{i}" for i in range(300)]
+    other = [f"x{i // 40}" if i in (20, 60, 100, 140) else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(f"v{i}" for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda **given: sorted(r.doc_id for r in simhash.drop_near_duplicates(docs, **given).collect())
+    assert kept() == kept(width=5, radius=3, parts=1) == kept(radius=7, parts=1) == [1, 2, 3]
+    assert kept(width=5, radius=4, parts=2) == kept(radius=8, parts=1) == [1, 3]
+    got = {r.doc_id: r.fp % 2**64 for r in simhash.simhash_components(docs, width=5).collect()}
+    assert got == {i: simhash.fingerprint(t, 5) for i, t in rows}
