@@ -32,13 +32,22 @@ class Rule:
         return f"{self.kind}@{hashlib.sha256(f'{self.pattern}|{self.group}|{self.least}'.encode()).hexdigest()[:12]}"
 
 
+#: A private key from its header line to its END line; without one, to the end of the base64 lines that follow the header. All
+#: repetitions are possessive, so matching takes linear time and no stack.
+PEM_HEADER = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_GAP = r"""(?:[\s>|#"',]|\\[rnt])*+"""  # line ends, escaped ones too, indents, marks of quotes and comments
+PEM = (
+    PEM_HEADER + r"(?:(?:[^-]++|-(?!----))*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"""|(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:(?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)++(?:{_GAP}[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n"']|\\[rn]|\z)))?+)?+)"""
+)
+
 BASE = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, "AKIA"),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY-----"),
+    Rule("pem", PEM, hint="PRIVATE KEY-----"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}", hint="gh"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", hint="xox"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", hint="eyJ"),
@@ -155,10 +164,10 @@ def _sql_spans(kind: str, pattern: str, test: str, rank: int) -> str:
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for the registered query."""
+    """DuckDB SQL for the registered query. It has the header line alone for a private key: no given table holds one."""
     assign = BASE[0].pattern.replace("'", "''")
     tests = {"assign": f"length(regexp_extract(m[i], '{assign}', 2)) >= 6", "access": "length(m[i]) >= 20", "hex": "length(m[i]) >= 24"}
-    parts = [_sql_spans(r.kind, r.pattern, tests.get(r.kind, "true"), i) + f" AS s{i}" for i, r in enumerate(RULES)]
+    parts = [_sql_spans(r.kind, PEM_HEADER if r.kind == "pem" else r.pattern, tests.get(r.kind, "true"), i) + f" AS s{i}" for i, r in enumerate(RULES)]
     join = lambda x: f"array_to_string(list_transform(list_sort({x}), lambda x: concat(x.kind, ':', x.start, ':', x.stop)), ',')"
     flat = lambda n: f"flatten([{', '.join(f's{i}' for i in range(n))}])"
     return f"""WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

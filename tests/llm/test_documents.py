@@ -260,3 +260,24 @@ def test_spans_text(spark, sf_dir):
     for r in queries.op10_secret_scans(spark, sf_dir).collect():
         base = ",".join(s for s in r.spans.split(",") if s.split(":")[0] in ("assign", "access", "hex"))
         assert hashlib.sha256(base.encode()).hexdigest() == r.base_sha256
+
+
+def test_private_keys_go_whole(spark):
+    """The body and the END line are part of the secret; without END the rest of the base64 lines is."""
+    head, end, b64 = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", [c * 64 for c in "MQz/+9"]
+    body = "\n".join([*b64, "Ab3="])
+    sealed = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    texts = {
+        f"see {head}\n{body}\n{end} and on": "see [SECRET] and on",
+        f"a\n{head}\n{sealed}{body}\n{end}\nz": "a\n[SECRET]\nz",
+        f"a {head}\n{body}\nThen prose goes on": "a [SECRET]\nThen prose goes on",
+        f"a {head}\n{sealed}{body}": "a [SECRET]",
+        f"a {head}\n{body}\n\n{head}\n{body}\n{end}\n-- b": "a [SECRET]\n\n[SECRET]\n-- b",
+        f'{{"k": "{head}\\n{body.replace(chr(10), chr(92) + "n")}\\n{end}\\n", "x": 1}}': '{"k": "[SECRET]\\n", "x": 1}',
+        f'{{"k": "{head}\\n{body.replace(chr(10), chr(92) + "n")}", "x": 1}}': '{"k": "[SECRET]", "x": 1}',
+        f"a line {head} of headers - and prose": "a line [SECRET] of headers - and prose",
+        f"{head}\n" + "\n".join(b64 * 2_000) + f"\n{end}!": "[SECRET]!",
+        f"{head} words " * 200: "[SECRET] words " * 200,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
