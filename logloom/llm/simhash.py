@@ -197,3 +197,15 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = simhash_components(docs, id_col, text_col, radius, parts, tile, width).where("doc_id = component_id").select("doc_id").distinct()
     match = F.col(id_col) == F.col("__kept")
     return docs.where(F.col(id_col).isNull()).unionByName(docs.join(kept.select(F.col("doc_id").alias("__kept")), match, "left_semi"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS, tile: int = TILE, width: int = WIDTH) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, the first written of repeated rows; rows without an id come last."""
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    own = written(fingerprints(numbered, id_col, text_col, width, "__row"), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    prints = written(own.groupBy("fp").agg(first), "distinct")
+    reached = connected_components(near_edges(prints.select("fp"), radius, parts, tile))
+    grouped = prints.join(reached, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("component", "fp").alias("of")).agg(F.min("first").alias("first"))
+    kept = grouped.select(F.col("first.row").alias("__kept"))
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").drop("__row")

@@ -88,3 +88,17 @@ def test_packing_and_run(spark, sf_dir, stages):
     for p in corpus_pipeline.run(spark, sf_dir).collect():
         again[p.doc_id] += p.length
     assert again == held
+
+
+def test_rows_without_or_with_shared_ids(spark, sf_dir):
+    """Every row is judged by its own text, and of exact and near copies one row stays, null and repeated ids included."""
+    docs = table(spark, sf_dir, "documents")
+    # A third of the rows lose their id, another third share one.
+    odd = docs.selectExpr("case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then -1 else doc_id end as doc_id", "text", "lang", "source", "doc_id as n_chars")
+    odd = written(odd, "odd")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = sorted(r.doc_id for r in quality.assess(docs, labels).where("kept").collect())
+    assert sorted(r.n_chars for r in quality.keep_good(odd, labels).collect()) == want and 0 < len(want) < docs.count()
+    rows = [(None, "a b c d", 1), (None, "a b c d", 2), (7, "e f g h", 3), (7, "e f g h", 3), (7, "i j k l", 4), (None, "e f g h", 5), (8, None, 6), (None, "", 7)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, n int"), sf_dir).collect()
+    assert sorted((r.doc_id or -1, r.n) for r in got if r.n > 2) == [(7, 3), (7, 4), (8, 6)] and [r.text for r in got if r.n <= 2] == ["a b c d"]
