@@ -118,6 +118,26 @@ def inf1_first_templates(spark, sf_dir):
     return rows.groupBy(F.array_join(infer.first_template(infer.tokens(F.col("raw_message"))), " ").alias("template")).agg(F.count("*").alias("n"))
 
 
+@query()
+def inf6_all_token_types(spark, sf_dir):
+    """The types of all tokens of all lines."""
+    toks = raw_logs(spark, sf_dir).select(F.explode(infer.typed(infer.tokens(F.col("raw_message")))).alias("t"))
+    return toks.groupBy("t.position", "t.type", "t.path", "t.confidence").agg(F.count("*").alias("n"))
+
+
+@query()
+def inf1_all_first_templates(spark, sf_dir):
+    """The first templates of all lines."""
+    return raw_logs(spark, sf_dir).groupBy(F.array_join(infer.first_template(infer.tokens(F.col("raw_message"))), " ").alias("template")).agg(F.count("*").alias("n"))
+
+
+@query()
+def fn_all_extensions(spark, sf_dir):
+    """All extension keys of each parser, with how many rows and different values each has."""
+    rows = normalized(spark, sf_dir).select("parser_name", F.explode("extensions").alias("key", "value"))
+    return rows.groupBy("parser_name", "key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
 @query(detected("SELECT incident_key, CASE WHEN tactics >= 3 THEN 'CLOSED' WHEN key_type = 'IP' THEN 'ACKNOWLEDGED' ELSE 'OPEN' END AS status FROM incidents"))
 def cor6_status_log(spark, sf_dir):
     """Incidents under a status log: all of addresses acknowledged, then those of three tactics closed."""
