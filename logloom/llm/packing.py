@@ -163,7 +163,7 @@ def pack(
     ``weights`` (positive integers by source) sets the proportions in which the windows are filled;
     without it, or for sources that it lacks, a source's weight is its token count, so that all queues end
     together. A queue that runs out leaves its share to the others: all tokens are packed. With more than
-    ``queues`` sources, sources share queues by hash, and each queue weighs as its tokens do.
+    ``queues`` sources, sources share queues by hash, and each queue weighs as its tokens do; ``weights`` are then an error.
 
     Null and empty texts are their end id alone. Null ids are kept as null, and null sources are one source.
     Repeated rows are packed as often as they occur. An empty table gives no rows. Other columns are ignored.
@@ -172,6 +172,8 @@ def pack(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
     names = [r.source for r in rows.select("source").distinct().limit(queues + 1).collect()]
     shared = queues if len(names) > queues else 0
+    if shared and weights:
+        raise ValueError(f"weights need a queue for each source, and there are more than {queues} sources")
     order = {} if shared else {s: i for i, s in enumerate(sorted(names, key=lambda s: (s is not None, s)))}
     rows = rows.withColumn("code", F.pmod(F.xxhash64("source"), F.lit(queues)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
