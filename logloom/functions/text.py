@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEP = "\x01\x02"  # stands between captured groups; control characters that lines don't hold
+SEP = "\x01\x02"  # stands between captured groups
 MAP = "map<string,string>"
+_SPACES = "".join(map(chr, range(0x21)))
 
 
 def strip(x: Column) -> Column:
     """Without leading and trailing characters up to U+0020 (tabs and control characters too)."""
-    return F.regexp_replace(x, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(x, F.lit(_SPACES))
 
 
 def blank(x: Column) -> Column:
@@ -25,9 +26,15 @@ def whole(pattern: str, flags: str = "") -> str:
 
 
 def captured(x: Column, pattern: str, groups: int, flags: str = "") -> Column:
-    """All groups of a whole match as an array, by one run of the pattern; unmatched groups are empty strings."""
+    """All groups of a whole match as an array, by one run of the pattern; unmatched groups are empty strings. The control
+    character that ends ``SEP`` counts as a space, in ``matched`` too."""
     out = SEP.join(f"${i}" for i in range(1, groups + 1))
-    return F.split(F.regexp_replace(x, whole(pattern, flags), out), SEP, -1)
+    return F.split(F.regexp_replace(F.replace(x, F.lit(SEP[-1]), F.lit(" ")), whole(pattern, flags), out), SEP, -1)
+
+
+def matched(x: Column, pattern: str, flags: str = "") -> Column:
+    """Whether ``captured`` finds the groups."""
+    return F.replace(x, F.lit(SEP[-1]), F.lit(" ")).rlike(whole(pattern, flags))
 
 
 def nonempty(x: Column) -> Column:
@@ -45,10 +52,13 @@ def n_columns(x: Column) -> Column:
 
 
 def to_map(keys: Column, values: Column) -> Column:
-    """A map in which the last of equal keys wins."""
+    """A map in which the last of equal keys wins, in time that grows with the pairs (and the sorting of lines that repeat a key)."""
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), p["k"]))
-    return F.map_from_entries(last)
+    numbered = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v"))))
+    # The sorted pairs stand in an array of one, so that a name is bound to them and they aren't sorted for every pair.
+    last = F.flatten(F.transform(F.array(numbered), lambda s: F.filter(s, lambda p, i: ~p["k"].eqNullSafe(F.get(s, i + 1)["k"]))))
+    plain = F.transform(last, lambda p: F.struct(p["k"].alias("k"), p["v"].alias("v")))
+    return F.map_from_entries(F.when(F.size(keys) == F.size(F.array_distinct(keys)), pairs).otherwise(plain))
 
 
 def first_of(m: Column, *keys: str) -> Column:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import action, captured, first_of, integer, iso, nonempty, port, strip, to_map, whole
+from logloom.functions.text import action, captured, first_of, integer, iso, matched, nonempty, port, strip, to_map
 from logloom.operators.classify import takes_cef
 from logloom.operators.parsers.base import Parser, Work, confidences, failed, parsed
 
 CEF = r".*?CEF:\s*(\d+)\|" + r"([^|]*)\|" * 6 + "(.*)"
 LEEF = r".*?LEEF:\s*([12]\.\d+)\|" + r"([^|]*)\|" * 4 + "(.*)"
-PAIRS = r"([a-zA-Z0-9_.-]+)=((?:\\=|[^= ])*)"
+PAIRS = r"([a-zA-Z0-9_.-]+)=((?:\\=|[^= ])*+)"  # possessive: a long value takes no stack
 SEVERITIES = ("informational", "low", "medium", "high", "critical")
 
 
@@ -80,7 +80,7 @@ def _leef(w: Work, line: Column, received: Column, here: Column) -> Column:
 
 def parse(w: Work, raw: Column, line: Column, received: Column) -> Column:
     cef, leef = raw.contains("CEF:"), raw.contains("LEEF:")
-    kind = F.when(cef, F.when(line.rlike(whole(CEF, "s")), 0).otherwise(2)).when(leef, F.when(line.rlike(whole(LEEF, "s")), 1).otherwise(3)).otherwise(4)
+    kind = F.when(cef, F.when(matched(line, CEF, "s"), 0).otherwise(2)).when(leef, F.when(matched(line, LEEF, "s"), 1).otherwise(3)).otherwise(4)
     kind = w.keep(1, "kind", kind)
     return (
         F.when(kind == 0, _cef(w, line, received, kind == 0))

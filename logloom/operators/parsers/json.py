@@ -46,7 +46,8 @@ def _cloudtrail(m: Column, received: Column) -> Column:
 
 
 def _eve(w: Work, m: Column, received: Column, here: Column) -> Column:
-    number = lambda x, default: F.coalesce(x.try_cast("double").cast("int"), F.lit(default))
+    # What is no number, or none that fits 32 bits, is the default.
+    number = lambda x, default: F.coalesce(x.try_cast("double").try_cast("int"), F.lit(default))
     spt, dpt = number(m["src_port"], 0), number(m["dest_port"], 0)
     alert = _has(m, "alert")
     field = lambda k: F.get_json_object(m["alert"], f"$.{k}")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import action, bsd_time, captured, first_of, iso, nonempty, port, whole
+from logloom.functions.text import action, bsd_time, captured, first_of, iso, matched, nonempty, port
 from logloom.operators.classify import takes_syslog
 from logloom.operators.parsers.base import Parser, Work, confidences, failed, parsed
 
@@ -34,8 +37,8 @@ def _long_port(x: Column) -> Column:
 
 
 def _asa(w: Work, line: Column, received: Column, here: Column) -> Column:
-    g = w.keep(2, "asa", captured(line, ASA, 15, "i"), here)
-    act, proto = w.keep(3, "asa_act", action(g[5]), here), F.upper(g[6])
+    g = w.keep(3, "asa", captured(line, ASA, 15, "i"), here)
+    act, proto = w.keep(4, "asa_act", action(g[5]), here), F.upper(g[6])
     loud = act.isin("blocked", "denied")
     rule = F.coalesce(nonempty(g[13]), nonempty(g[14]))
     code = F.create_map(F.lit("vendorCode"), F.concat(F.lit("%"), g[4]))
@@ -52,8 +55,8 @@ def _asa(w: Work, line: Column, received: Column, here: Column) -> Column:
 
 
 def _filter(w: Work, line: Column, received: Column, here: Column) -> Column:
-    g = w.keep(2, "filter", captured(line, FILTER, 10, "i"), here)
-    act = w.keep(3, "filter_act", F.coalesce(action(nonempty(g[4])), F.lit("blocked")), here)
+    g = w.keep(3, "filter", captured(line, FILTER, 10, "i"), here)
+    act = w.keep(4, "filter_act", F.coalesce(action(nonempty(g[4])), F.lit("blocked")), here)
     proto, blocked = F.upper(g[7]), act == "blocked"
     src, dst = nonempty(g[8]), nonempty(g[9])
     event = parsed(
@@ -69,8 +72,8 @@ def _filter(w: Work, line: Column, received: Column, here: Column) -> Column:
 
 
 def _rfc5424(w: Work, line: Column, received: Column, here: Column) -> Column:
-    g = w.keep(2, "rfc", captured(line, RFC5424, 4), here)
-    kv = w.kv(3, "rfc_kv", g[3], PAIRS, 3, when=here)
+    g = w.keep(3, "rfc", captured(line, RFC5424, 4), here)
+    kv = w.kv(4, "rfc_kv", g[3], PAIRS, 3, when=here)
     src, dst = first_of(kv, "src", "src_ip", "source_ip"), first_of(kv, "dst", "dst_ip", "dest_ip")
     return parsed(
         timestamp_text=F.when(g[0].contains("T"), g[0]).otherwise(iso(received)), category="network_traffic", type="syslog_rfc5424",
@@ -82,7 +85,7 @@ def _rfc5424(w: Work, line: Column, received: Column, here: Column) -> Column:
 
 
 def _other(w: Work, raw: Column, received: Column, here: Column) -> Column:
-    kv = w.kv(2, "other_kv", raw, PAIRS, 3, when=here)
+    kv = w.kv(3, "other_kv", raw, PAIRS, 3, when=here)
     src, dst = first_of(kv, "src", "srcip", "src_ip"), first_of(kv, "dst", "dstip", "dst_ip")
     return parsed(
         timestamp_text=iso(received), category="network_traffic", type="syslog", action=action(F.coalesce(first_of(kv, "action", "act"), F.lit("informational"))),
@@ -93,7 +96,13 @@ def _other(w: Work, raw: Column, received: Column, here: Column) -> Column:
 
 
 def parse(w: Work, raw: Column, line: Column, received: Column) -> Column:
-    kind = w.keep(1, "kind", F.when(line.rlike(whole(ASA, "i")), 0).when(line.rlike(whole(FILTER, "i")), 1).when(line.rlike(whole(RFC5424)), 2).otherwise(3))
+    # Plain words are looked for first: the patterns try every place of a line that lacks them.
+    upper = w.keep(1, "upper", F.upper(line))
+    has = lambda *words: reduce(and_, [upper.contains(x) for x in words])
+    asa = F.when(has("%ASA-", "SRC", "DST"), matched(line, ASA, "i")).otherwise(False)
+    filters = F.when(has("SRC=", "DST=", "PROTO="), matched(line, FILTER, "i")).otherwise(False)
+    rfc = F.when(line.rlike(r"\A<\d{1,3}>1\s"), matched(line, RFC5424)).otherwise(False)
+    kind = w.keep(2, "kind", F.when(asa, 0).when(filters, 1).when(rfc, 2).otherwise(3))
     return (
         F.when(kind == 0, _asa(w, line, received, kind == 0))
         .when(kind == 1, _filter(w, line, received, kind == 1))

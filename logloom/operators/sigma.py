@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import importlib
+import warnings
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import or_
 from pathlib import Path
 
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +134,21 @@ def lowered(rules: list[SigmaRule] | tuple[SigmaRule, ...]) -> dict[str, Column]
     return {k.replace("_value_", "_lower_"): F.lower(F.col(f"`{k}`")) for k in fields(rules)}
 
 
+def compiles(pattern: str) -> bool:
+    """Whether Java, whose patterns rules are in, takes the pattern."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except PySparkException:
+        return False
+    return True
+
+
+def bad_patterns(rules: list[SigmaRule] | tuple[SigmaRule, ...]) -> list[tuple[str, str]]:
+    """(rule id, pattern) of the values that are no patterns. They match nothing; the rest of their rule counts as it is."""
+    given = [(r.id, v) for r in rules for block in r.blocks.values() for c in block if c.modifier == "re" for v in c.values]
+    return [(rule, v) for rule, v in given if not compiles(v)]
+
+
 def matches(criterion: Criterion) -> Column:
     """Any value of the list, without regard to case; a missing field is false, never null."""
     value, low = F.col(f"`_value_{criterion.field.lower()}`"), F.col(f"`_lower_{criterion.field.lower()}`")
@@ -140,7 +158,7 @@ def matches(criterion: Criterion) -> Column:
         "contains": lambda v: low.contains(v.lower()),
         "startswith": lambda v: low.startswith(v.lower()),
         "endswith": lambda v: low.endswith(v.lower()),
-        "re": lambda v: value.rlike(f"(?i){v}"),
+        "re": lambda v: value.rlike(f"(?i){v}") if compiles(v) else F.lit(False),
     }
     return F.coalesce(reduce(or_, [tests[criterion.modifier](v) for v in criterion.values], F.lit(False)), F.lit(False))
 
@@ -185,6 +203,8 @@ MATCH = "struct<rule_id:string,rule_title:string,severity:string,technique_id:st
 def evaluate(rules: list[SigmaRule] | tuple[SigmaRule, ...] = RULES) -> Column:
     """The array of matches of all enabled rules, by rule id, over the columns of ``fields`` and ``lowered``."""
     found = []
+    for rule, bad in bad_patterns(rules):
+        warnings.warn(f"rule {rule}: {bad!r} is no pattern and matches nothing", stacklevel=2)
     for r in sorted((r for r in rules if r.enabled), key=lambda r: r.id):
         values = (r.id, r.title, r.level, r.technique, r.tactic, f"Matched rule {r.title}")
         names = [x.split(":")[0] for x in MATCH[7:-1].split(",")]
