@@ -1,127 +1,142 @@
 """Mixture-controlled packing by deficit round-robin.
 
-Every source is a queue of tokens. A window of ``WINDOW`` tokens is filled in rounds: each queue earns
-credit in proportion to its weight, and is served once its credit reaches ``burst`` tokens; what it isn't
-served stays as its deficit for the next window. Documents are cut freely, so no window but the last has padding.
-
-To run in parallel, the virtual time of the whole run is cut into stretches of about ``STRETCH`` windows. How
-many tokens each queue has been owed by a point in virtual time is a closed form, so every stretch
-knows the deficits that it is handed, and where its first token lies, without the stretches before it. Within
-a stretch the rounds run as written. Only token counts by source are gathered: at most ``QUEUES`` rows.
+Every source is a queue of tokens. A round fills a window of ``WINDOW`` tokens (or ``stretch`` of them): each queue earns credit
+in proportion to its weight, and is served as many whole bursts of ``BURST`` tokens as its credit allows; what it isn't served
+stays as its deficit for the next round. Queues start with staggered deficits, so that queues of equal weight take turns.
+Credit runs on over all rounds and partitions: after any number of rounds, a queue has had what its weight asks for, give or take
+a burst. A queue that ends leaves its share to the others. Documents are cut freely, so no window but the last has padding.
+
+What a queue has been served before a round has a closed form (its credit by then, in whole bursts), so every task finds the
+places of its own tokens without the rounds before. Only token counts by queue are gathered: at most ``QUEUES`` rows and
+one for each given weight.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from math import gcd
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm._scan import running_totals
 from logloom.llm._spark import small, text_rows, written
 from logloom.llm.tokens import WordTokenizer
 
 WINDOW = 2048
-BURST = 256
-STRETCH = 64  # windows
-QUEUES = 4096  # sources beyond this many share queues by hash
-CARRIED = 200_000  # rows of totals by queue and partition that are broadcast; more are joined by shuffle
+BURST = 16
+STRETCH = 1  # windows of a round
+QUEUES = 4096  # sources with a queue of their own, the largest, beside those with given weights
+SHARED = 1024  # queues, by hash, of all other sources
+CARRIED = 200_000  # rows of totals by source and partition that are broadcast; more are joined by shuffle
 END = 1  # the id after each document
 
+_PHASE, _GOLDEN = 1 << 20, 648_055  # starting deficits are multiples of the golden ratio, in parts of a burst
+
 
 class Plan:
-    """The order in which the tokens of all queues fill the windows."""
-
-    def __init__(self, tokens: list[int], weights: list[int], window: int, burst: int, stretch: int):
-        self.tokens, self.weights, self.window, self.burst = tokens, weights, window, burst
-        # Token t of queue i is due at (2t + 1) / (2 weight); the last queue ends by top / low.
-        top, low = 0, 1
-        for t, w in zip(tokens, weights, strict=True):
-            if t * low > top * w:
-                top, low = t // gcd(t, w), w // gcd(t, w)
-        self.top, self.low = max(top, 1), low
-        self.stretches = max(1, round(self.top * sum(weights) / (self.low * window * stretch)))
-        self._known: dict[int, dict] = {}
-
-    def owed(self, i: int, k: int) -> int:
-        """Tokens of queue i that are due before stretch k."""
-        whole = 2 * self.stretches * self.low
-        return max(0, min(self.tokens[i], -((self.stretches * self.low - 2 * self.weights[i] * k * self.top) // whole)))
-
-    def stretch_of(self, i: int, token: int) -> int:
-        k = (2 * token + 1) * self.stretches * self.low // (2 * self.weights[i] * self.top)
-        k = min(k, self.stretches - 1)
-        while k and self.owed(i, k) > token:
-            k -= 1
-        while k < self.stretches - 1 and self.owed(i, k + 1) <= token:
-            k += 1
-        return k
+    """The order in which the tokens of all queues fill the windows.
+
+    In virtual time v queue i has earned ``weights[i] * v`` tokens, up to all it has. Round k begins when all queues together have
+    earned k rounds' tokens. All of this is exact, in whole numbers.
+    """
 
-    def runs(self, k: int) -> dict[int, tuple[list[int], list[int], int]]:
+    def __init__(self, tokens: list[int], weights: list[int], window: int, burst: int, stretch: int = STRETCH):
+        self.tokens, self.weights, self.window, self.burst, self.size = tokens, weights, window, burst, window * stretch
+        self.total = sum(tokens)
+        self._phase = [i * _GOLDEN % _PHASE for i in range(len(tokens))]
+        # Queues end in this order; between two ends the earned tokens grow evenly: done[s] + rate[s] * v.
+        ends = sorted(range(len(tokens)), key=lambda i: Fraction(tokens[i], weights[i]))
+        self._done = [0, *accumulate(tokens[i] for i in ends)]
+        whole = sum(weights)
+        self._rate = [whole, *(whole - x for x in accumulate(weights[i] for i in ends))]
+        # The last whole number of earned tokens before each end, and (rounded) when that end is.
+        self._until = [-(-(d * weights[i] + r * tokens[i]) // weights[i]) - 1 for i, d, r in zip(ends, self._done, self._rate, strict=False)]
+        self._times = [tokens[i] / weights[i] for i in ends]
+        self._known: dict[int, tuple[list[int], list[int], list[int]]] = {}
+        self._most = max(16, 400_000 // max(1, len(tokens)))
+        self._last = [0] * len(tokens)
+
+    def served(self, k: int) -> list[int]:
+        """What each queue is served before round k."""
+        earned = k * self.size
+        if earned >= self.total:
+            return self.tokens
+        s, unit = bisect_left(self._until, earned), self.burst
+        done, rate = earned - self._done[s], self._rate[s]
+        whole = unit * rate * _PHASE
+        parts = zip(self.tokens, self.weights, self._phase, strict=True)
+        # The last burst may be a part of one; its start is staggered by that part of the phase.
+        return [
+            t if (w * done - t * rate) * _PHASE + t % unit * p * rate >= 0 else min(t - t % unit, (w * done * _PHASE + unit * p * rate) // whole * unit) for t, w, p in parts
+        ]
+
+    def round(self, k: int) -> tuple[list[int], list[int], list[int]]:
+        """What each queue is served before round k, and by its end, and where its tokens of the round begin in all windows."""
         if k not in self._known:
-            if len(self._known) >= 256:
+            if len(self._known) >= self._most:
                 self._known.clear()
-            self._known[k] = self._runs(k)
+            before = self._known[k - 1][1] if k - 1 in self._known else self.served(k)
+            after = self.served(k + 1)
+            starts = accumulate((y - x for x, y in zip(before, after, strict=True)), initial=sum(before))
+            self._known[k] = before, after, list(starts)
         return self._known[k]
 
-    def _runs(self, k: int) -> dict[int, tuple[list[int], list[int], int]]:
-        """For each queue of stretch k: where its runs start in the queue, where in all windows, and where the last ends."""
-        last = k == self.stretches - 1
-        queues = range(len(self.tokens))
-        start = [self.owed(i, k) for i in queues]
-        end = [self.tokens[i] if last else self.owed(i, k + 1) for i in queues]
-        live = [i for i in queues if end[i] > start[i]]
-        at, share = sum(start), {i: end[i] - start[i] for i in live}
-        rounds = max(1, -(-sum(share.values()) // self.window))
-        credit, served, found = dict.fromkeys(live, 0), dict(zip(live, (start[i] for i in live), strict=True)), {i: ([], [], end[i]) for i in live}
-        for r in range(rounds):
-            for i in live:
-                left = end[i] - served[i]
-                credit[i] += share[i]
-                due = min(left, credit[i] // rounds)
-                if due and (due >= self.burst or due == left or r == rounds - 1):
-                    found[i][0].append(served[i])
-                    found[i][1].append(at)
-                    served[i] += due
-                    credit[i] -= due * rounds
-                    at += due
-        return found
+    def round_of(self, i: int, token: int) -> int:
+        """The round that serves a token of queue i."""
+        k = self._last[i]
+        for _ in range(2):
+            before, after, _places = self.round(k)
+            if before[i] <= token < after[i]:
+                self._last[i] = k
+                return k
+            k += 1
+        size = min(self.burst, self.tokens[i] - token // self.burst * self.burst)
+        due = (token // self.burst * self.burst + size * (1 - self._phase[i] / _PHASE)) / self.weights[i]
+        s = min(bisect_right(self._times, due), len(self.tokens) - 1)
+        k = max(0, int((self._done[s] + self._rate[s] * due) / self.size))
+        while k and self.served(k)[i] > token:
+            k -= 1
+        while self.served(k + 1)[i] <= token:
+            k += 1
+        self._last[i] = k
+        return k
 
     def pieces(self, i: int, start: int, length: int) -> Iterator[tuple[int, int, int]]:
         """Cuts tokens start .. start + length of queue i into (offset in them, length, place in all windows)."""
         at, end = start, start + length
         while at < end:
-            starts, places, stop = self.runs(self.stretch_of(i, at))[i]
-            j = bisect_right(starts, at) - 1
-            place = places[j] + at - starts[j]
-            run_end = starts[j + 1] if j + 1 < len(starts) else stop
-            n = min(end, run_end) - at
-            n = min(n, self.window - place % self.window)
+            before, after, places = self.round(self.round_of(i, at))
+            place = places[i] + at - before[i]
+            n = min(min(end, after[i]) - at, self.window - place % self.window)
             yield at - start, n, place
             at += n
 
+    def padded(self, sequence: int) -> int:
+        """The length that a sequence is padded to."""
+        return padded_length(min(self.window, self.total - sequence * self.window), self.window)
+
 
-def _tokenized(path: str, order: dict, shared: int):
+def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pid, seen = WordTokenizer(path), TaskContext.get().partitionId(), {}
         end = np.array([END], words.dtype).tobytes()
         size = len(end)
         for part in text_rows(batches, 256):
-            queues, counts, before, ids = [], [], [], []
-            for text, source, code in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                queue = order[source] if not shared else code
+            counts, before, ids = [], [], []
+            for text, source in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                 packed = words.encode(text or "") + end
                 ids.append(packed)
                 counts.append(len(packed) // size)
-                queues.append(queue)
-                before.append(seen.get(queue, 0))
-                seen[queue] = before[-1] + counts[-1]
-            arrays = [part.column(0), pa.array(queues, pa.int32()), pa.array(counts, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary()), pa.array([pid] * len(ids), pa.int32())]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "queue", "n", "before", "ids", "pid"])
+                before.append(seen.get(source, 0))
+                seen[source] = before[-1] + counts[-1]
+            arrays = [part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(before, pa.int64()), pa.array(ids, pa.binary()), pa.array([pid] * len(ids), pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "source", "n", "before", "ids", "pid"])
 
     return run
 
@@ -136,11 +151,12 @@ def _packed(plan: Plan, dtype: str):
             for r, (queue, n, start, ids) in enumerate(zip(*(part.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True)):
                 wide = np.frombuffer(ids, dtype).astype("<u4").tobytes() if size != 4 else ids
                 for at, length, place in plan.pieces(queue, start, n):
-                    rows.append((at, length, wide[4 * at : 4 * (at + length)], n, place // plan.window, place % plan.window))
+                    sequence = place // plan.window
+                    rows.append((at, length, wide[4 * at : 4 * (at + length)], n, sequence, place % plan.window, plan.padded(sequence)))
                     which.append(r)
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+            names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "padded_length"]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which, pa.int64())), *columns], names)
 
     return run
@@ -158,37 +174,43 @@ def pack(
     stretch: int = STRETCH,
     queues: int = QUEUES,
 ) -> DataFrame:
-    """One row for each piece: id, start, length, ids (packed little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+    """One row for each piece: id, start, length, ids (packed little-endian unsigned 32-bit), doc_tokens, sequence_id, offset,
+    padded_length (of the sequence).
 
-    ``weights`` (positive integers by source) sets the proportions in which the windows are filled;
-    without it, or for sources that it lacks, a source's weight is its token count, so that all queues end
-    together. A queue that runs out leaves its share to the others: all tokens are packed. With more than
-    ``queues`` sources, sources share queues by hash, and each queue weighs as its tokens do; ``weights`` are then an error.
+    ``weights`` (positive integers by source) sets the proportions in which the windows are filled; without it, or for sources
+    that it lacks, a source's weight is its token count, so that all queues end together. A queue that runs out leaves its
+    share to the others: all tokens are packed. The ``queues`` largest sources have a queue of their own, and so has each
+    source with a given weight, however many sources there are. All other sources, each smaller than these, share ``SHARED``
+    queues by hash, and each of those weighs as its tokens do. A round fills ``stretch`` windows; longer rounds and bursts
+    make longer pieces and coarser mixtures.
 
     Null and empty texts are their end id alone. Null ids are kept as null, and null sources are one source.
     Repeated rows are packed as often as they occur. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("source"))
-    names = [r.source for r in rows.select("source").distinct().limit(queues + 1).collect()]
-    shared = queues if len(names) > queues else 0
-    if shared and weights:
-        raise ValueError(f"weights need a queue for each source, and there are more than {queues} sources")
-    order = {} if shared else {s: i for i, s in enumerate(sorted(names, key=lambda s: (s is not None, s)))}
-    rows = rows.withColumn("code", F.pmod(F.xxhash64("source"), F.lit(queues)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
-    tokens = written(rows.mapInArrow(_tokenized(tokenizer, order, shared), f"id {kind}, queue int, n bigint, before bigint, ids binary, pid int"), "tokens")
-    held = tokens.groupBy("queue", "pid").agg(F.sum("n").alias("held"))
-    totals = {r.queue: r.total for r in held.groupBy("queue").agg(F.sum("held").alias("total")).collect()}
-    counts = [totals.get(i, 0) for i in range(max(totals, default=-1) + 1)]
-    given = {order[s]: w for s, w in (weights or {}).items() if s in order}
-    plan = Plan(counts, [given.get(i, max(1, c)) for i, c in enumerate(counts)], window, burst, stretch)
-    so_far = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = held.select("queue", "pid", F.coalesce(F.sum("held").over(so_far), F.lit(0)).alias("base"))
-    placed = tokens.join(small(bases, CARRIED), ["queue", "pid"]).select("id", "queue", "n", (F.col("base") + F.col("before")).alias("start"), "ids")
+    tokens = written(rows.mapInArrow(_tokenized(tokenizer), f"id {kind}, source string, n bigint, before bigint, ids binary, pid int"), "tokens")
+    held = written(tokens.groupBy("source", "pid").agg(F.sum("n").alias("held")), "held")
+    sizes = held.groupBy("source").agg(F.sum("held").alias("total"))
+    given = weights or {}
+    largest = [r.source for r in sizes.orderBy(F.desc("total"), "source").limit(queues).collect()]
+    own = sorted({*largest, *given}, key=lambda s: (s is not None, s))
+    named = F.broadcast(spark.createDataFrame([(s, i) for i, s in enumerate(own)], "own string, place int"))
+    shared = F.lit(len(own)) + F.pmod(F.xxhash64("source"), F.lit(SHARED)).cast("int")
+    placed = held.join(named, F.col("source").eqNullSafe(F.col("own")), "left").select("source", "pid", "held", F.coalesce("place", shared).alias("queue"))
+    placed = written(placed, "queues")
+    totals = {r.queue: r.total for r in placed.groupBy("queue").agg(F.sum("held").alias("total")).collect()}
+    counts = [totals.get(i, 0) for i in range(len(own) + SHARED)]
+    while counts and not counts[-1]:
+        counts.pop()
+    plan = Plan(counts, [given.get(own[i], max(1, c)) if i < len(own) else max(1, c) for i, c in enumerate(counts)], window, burst, stretch)
+    bases = running_totals(placed, ["queue"], ["pid", "source"], "held", "base").select(F.col("source").alias("s"), F.col("pid").alias("p"), "queue", "base")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("pid") == F.col("p"))
+    based = tokens.join(small(bases, CARRIED), same).select("id", "queue", "n", (F.col("base") + F.col("before")).alias("start"), "ids")
     dtype = WordTokenizer(tokenizer).dtype
-    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return placed.mapInArrow(_packed(plan, dtype), schema)
+    schema = f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, padded_length int"
+    return based.mapInArrow(_packed(plan, dtype), schema)
 
 
 def padded_length(length: int, window: int = WINDOW) -> int:

@@ -62,7 +62,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_pieces(docs: DataFrame) -> DataFrame:
     pieces = packing.pack(docs, word_tokenizer())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -281,8 +281,3 @@ def test_private_keys_go_whole(spark):
     }
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == list(texts.values())
-
-
-def test_weights_need_queues_of_their_own(docs):
-    with pytest.raises(ValueError, match="more than 1 sources"):
-        packing.pack(docs, WORDS, weights={"web": 3}, queues=1)
