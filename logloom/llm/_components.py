@@ -17,9 +17,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``edges`` (a long, b long) to (node long, component long): every node that has an edge,
     and the smallest node that it reaches.
 
-    A round joins each edge with the smallest neighbour of its end; the sums are made before
-    the shuffle and the joins are left to Spark, which splits the partitions of hot nodes.
-    Each round is written to the shared folder. The edges never leave the executors;
+    A round joins each edge with the smallest neighbour of its end. The smallest neighbours are summed up before the shuffle and
+    written before they are joined, so that Spark can split the partitions of hot nodes. The edges never leave the executors;
     the driver sees a count and two sums a round.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -29,9 +28,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not mark[0]:
             break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-        low = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
-        low = large.groupBy(F.col("a").alias("w")).agg(F.min("b").alias("m"))
+        low = written(both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), "lowest")
+        large = both.join(low, F.col("u") == F.col("w")).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
+        large = written(large.distinct(), "large")
+        low = written(large.groupBy(F.col("a").alias("w")).agg(F.min("b").alias("m")), "lowest")
         rest = large.join(low, F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = written(rest.union(low.select("w", "m")).distinct(), "edges")
         last, mark = mark, _mark(e)

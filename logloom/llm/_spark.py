@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,12 +36,26 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there, so a lost
-    executor costs no more than the rereading of files."""
+    executor costs no more than the rereading of files.
+
+    Sums by a key that are joined with rows of that key are written first: Spark splits a partition of a hot key only
+    where both sides of the join come straight from a shuffle, which an aggregate below the join would not.
+    """
     spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_written(spark: SparkSession) -> int:
+    """Removes what ``written`` left in the shared folder, once the results that read it are stored. Returns how many tables."""
+    paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

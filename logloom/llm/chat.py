@@ -170,10 +170,11 @@ def prefix_forest(turns: DataFrame, tokenizer: str) -> Forest:
     joined = keyed.select("conv_id", "depth", "node", "pid", "role", "text").mapInArrow(
         _joined_up(_carried(keyed.select("conv_id", "depth", "node", "pid", "row"))), "conv_id bigint, depth bigint, node string, role string, text string"
     )
-    joined = written(joined, "turns")
+    joined = written(joined.withColumn("row", F.monotonically_increasing_id()), "turns")
     paths = joined.select("conv_id", "depth", "node")
-    owners = paths.groupBy(F.col("node").alias("n")).agg(F.min("conv_id").alias("segment"))
-    owned = joined.join(owners, F.col("node") == F.col("n")).where(F.col("conv_id").eqNullSafe(F.col("segment")))
+    # A node's row is picked by keys alone: its text is looked up by row, so a turn that many share is one row there, not a hot key.
+    picked = joined.groupBy("node").agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id", "row")).alias("first"))
+    owned = joined.join(picked.select(F.col("first.row").alias("r")), F.col("row") == F.col("r"), "left_semi").withColumnRenamed("conv_id", "segment")
     schema = "segment bigint, depth bigint, node string, n_tokens bigint, ids array<int>, loss_from int, loss_to int"
     nodes = written(owned.select("segment", "depth", "node", "role", "text").mapInArrow(_token_rows(tokenizer), schema), "nodes")
     # What a conversation has of each segment on its way.
@@ -194,8 +195,9 @@ def prefix_forest(turns: DataFrame, tokenizer: str) -> Forest:
     spans = F.transform(F.array_sort(F.collect_list(F.struct("from_depth", F.col("segment_start").alias("start"), (F.col("segment_start") + F.col("tokens")).alias("end")))), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     ancestors = ancestors.groupBy(F.col("conv_id").alias("c")).agg(spans.alias("ancestors"))
     laid = laid.join(ancestors, F.col("segment").eqNullSafe(F.col("c")), "left").select(F.col("segment").alias("s"), "tree", "segment_start", F.col("position").alias("segment_position"), "ancestors")
+    laid = written(laid, "laid")
     inside = running_totals(nodes.select("segment", "depth", "node", "n_tokens"), ["segment"], ["depth", "node"], "n_tokens", "inside")
-    # Places are put together before the tokens join them, so that tokens are shuffled once, by node, as read_back needs them.
+    # Places are put together before the tokens join them, so that tokens are shuffled once.
     places = inside.select(F.col("node").alias("n"), F.col("segment").alias("own"), "inside").join(laid, F.col("own").eqNullSafe(F.col("s"))).drop("own", "s")
     placed = nodes.join(places, F.col("node") == F.col("n"))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -209,45 +211,64 @@ def prefix_forest(turns: DataFrame, tokenizer: str) -> Forest:
 DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
 
 
-def _digested(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chat, conv, state = ChatTokens(path), object(), None
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in DIGESTS.split(", ")])
-
-        def row() -> tuple:
-            return conv, state["turns"], state["all"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]
+def _texts(path: str):
+    """Rows (node, ids, loss_from, loss_to) to (node, said, under, chars): role, line feed, text, line feed of the turn; its text
+    under the loss mask; how long it is as formatted. Each node is decoded once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chat = ChatTokens(path)
         for part in text_rows(batches, 256):
-            done = []
-            for c, ids, start, end in zip(part.column(0).to_pylist(), *(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if c != conv:
-                    if state:
-                        done.append(row())
-                    conv, state = c, {"turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+            said, under, chars = [], [], []
+            for ids, start, end in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 formatted, role, text = chat.turns(ids)
-                state["turns"] += 1
-                state["chars"] += len(formatted)
-                state["all"].update(f"{unescaped(role)}\n{unescaped(text)}\n".encode())
-                under = unescaped(chat.decode(ids[start:end])) if end > start else ""
-                state["loss"].update(under.encode())
-                state["loss_chars"] += len(under)
-            if done:
-                yield batch_of(done)
-        if state:
-            yield batch_of([row()])
+                chars.append(len(formatted))
+                said.append(f"{unescaped(role)}\n{unescaped(text)}\n")
+                # The mask counts tokens; where it spans the whole text, that is decoded already.
+                whole = start == ids.index(chat.body) + 1 and end == len(ids) - 1
+                under.append(unescaped(text if whole else chat.decode(ids[start:end])) if end > start else "")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(said, pa.string()), pa.array(under, pa.string()), pa.array(chars, pa.int64())], ["node", "said", "under", "chars"])
 
     return run
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, depth, said, under, chars), sorted by conversation and depth, to ``DIGESTS``."""
+    conv, state = object(), None
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in DIGESTS.split(", ")])
+
+    def row() -> tuple:
+        return conv, state["turns"], state["all"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]
+
+    for part in text_rows(batches, 256):
+        done = []
+        for c, said, under, chars in zip(part.column(0).to_pylist(), *(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            if c != conv:
+                if state:
+                    done.append(row())
+                conv, state = c, {"turns": 0, "all": hashlib.sha256(), "loss": hashlib.sha256(), "loss_chars": 0, "chars": 0}
+            state["turns"] += 1
+            state["chars"] += chars
+            state["all"].update(said.encode())
+            state["loss"].update(under.encode())
+            state["loss_chars"] += len(under)
+        if done:
+            yield batch_of(done)
+    if state:
+        yield batch_of([row()])
+
+
 def read_back(forest: Forest, tokenizer: str) -> DataFrame:
-    """``DIGESTS`` of every conversation, from the forest's tokens: each node's tokens go to the conversations that pass through
-    it, which are then read turn by turn; of a conversation no more than digests is held."""
-    nodes = forest.nodes.select(F.col("node").alias("n"), "ids", "loss_from", "loss_to")
-    rows = forest.paths.join(nodes, F.col("node") == F.col("n")).select("conv_id", "depth", "ids", "loss_from", "loss_to")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(_digested(tokenizer), DIGESTS)
+    """``DIGESTS`` of every conversation, from the forest's tokens: each node's tokens are decoded once, its text goes to the
+    conversations that pass through it, and these are read turn by turn; of a conversation no more than digests is held.
+
+    Null and empty texts are empty, as in the forest; the conversation without an id has a row of its own; an empty forest gives no rows."""
+    texts = forest.nodes.select("node", "ids", "loss_from", "loss_to").mapInArrow(_texts(tokenizer), "node string, said string, under string, chars bigint")
+    texts = written(texts, "texts").withColumnRenamed("node", "n")
+    rows = forest.paths.join(texts, F.col("node") == F.col("n")).select("conv_id", "depth", "said", "under", "chars")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(_digested, DIGESTS)
 
 
 def attention(nodes: list[dict]) -> np.ndarray:

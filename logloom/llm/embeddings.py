@@ -84,7 +84,7 @@ SELF, LOW, HIGH = 0, 1, 2  # a tile that meets itself; the two sides of a pair o
 
 
 def _matched(threshold: float):
-    """Rows (seat, side, node, times, embedding), sorted by seat and side, to (node, links, null) and edges (node, null, other)."""
+    """Rows (grp, lo, hi, side, node, times, embedding), sorted by the first four, to (node, links, null) and edges (node, null, other)."""
 
     def compared(sides: dict[int, list]) -> Iterator[pa.RecordBatch]:
         if sides[LOW] and not sides[HIGH] or sides[HIGH] and not sides[LOW]:
@@ -117,16 +117,16 @@ def _matched(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seat, sides = None, {SELF: [], LOW: [], HIGH: []}
         for batch in batches:
-            seats, side, ids, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            cuts = np.flatnonzero((seats[1:] != seats[:-1]) | (side[1:] != side[:-1])) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(seats)], strict=True):
+            grp, lo, hi, side, ids, times = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (grp, lo, hi, side)], axis=0)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(ids)], strict=True):
                 if s == e:
                     continue
-                if seats[s] != seat:
+                if (grp[s], lo[s], hi[s]) != seat:
                     if any(sides.values()):
                         yield from compared(sides)
-                    seat, sides = seats[s], {SELF: [], LOW: [], HIGH: []}
-                flat = batch.column(4).slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
+                    seat, sides = (grp[s], lo[s], hi[s]), {SELF: [], LOW: [], HIGH: []}
+                flat = batch.column(6).slice(s, e - s).flatten().to_numpy(zero_copy_only=False).reshape(e - s, -1)
                 sides[side[s]].append((ids[s:e], times[s:e], flat))
         if any(sides.values()):
             yield from compared(sides)
@@ -158,18 +158,22 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = rows.where("fine").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("times"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
     split = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("splits"))
+    split = written(split.withColumn("grp", F.monotonically_increasing_id()), "splits")
     dealt = classes.join(small(split, 10_000), ["label", "dim"]).withColumn("at", F.pmod(F.xxhash64("node"), F.col("splits")).cast("int"))
-    seats = dealt.select("label", "dim", "at", "node", "times", "v", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("with"))
-    seat = F.xxhash64("label", "dim", F.least("at", "with"), F.greatest("at", "with"))
+    seats = dealt.select("grp", "at", "node", "times", "v", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("with"))
+    seat = ["grp", "lo", "hi"]
     side = F.when(F.col("at") == F.col("with"), SELF).when(F.col("at") < F.col("with"), LOW).otherwise(HIGH)
-    seats = seats.select(seat.alias("seat"), side.alias("side"), "node", "times", "v").repartition("seat").sortWithinPartitions("seat", "side")
+    seats = seats.select("grp", F.least("at", "with").alias("lo"), F.greatest("at", "with").alias("hi"), side.alias("side"), "node", "times", "v")
+    seats = seats.repartition(*seat).sortWithinPartitions(*seat, "side")
     found = written(seats.mapInArrow(_matched(threshold), "node bigint, links bigint, other bigint"), "links")
     counts = found.where("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
     reached = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    lowest = reached.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("lowest"))
+    reached = written(reached.join(classes.select("node", "least"), "node"), "reached")
+    lowest = written(reached.groupBy("component").agg(F.min("least").alias("lowest")), "lowest")
     reached = reached.join(lowest, "component").select("node", "lowest")
     known = classes.join(counts, "node", "left").join(reached, "node", "left").select(
         F.col("label").alias("l"), F.col("v").alias("w"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("lowest", "least").alias("component_id")
     )
+    known = written(known, "known")
     members = rows.where("fine").join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w"))).select("id", "n_links", "component_id")
     return members.unionByName(alone).select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

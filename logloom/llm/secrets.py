@@ -56,31 +56,56 @@ RULES = BASE + MORE
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+BLOCK = 64  # elements of an array that are worked on together, so that work doesn't grow with the square of a text's matches
+
+
+def _named(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, not wherever ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, start: int, step) -> Column:
+    """For each element, what ``step`` makes of all elements before it. Blocks are put together first, so no array is built up element by element."""
+    fold = lambda x, first=F.lit(start): F.aggregate(x, first, step)
+
+    def inside(part: Column, first: Column) -> Column:
+        return F.transform(part, lambda _, j: fold(F.slice(part, F.lit(1), j), first))
+
+    def whole(blocks: Column) -> Column:
+        return _named(F.transform(blocks, lambda x: fold(x)), lambda sums: F.flatten(F.transform(blocks, lambda x, i: _named(fold(F.slice(sums, F.lit(1), i)), lambda first: inside(x, first)))))
+
+    return _named(_blocks(values), whole)
+
+
+def _blocks(values: Column) -> Column:
+    """An array's elements in arrays of ``BLOCK``; none for an empty array."""
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(BLOCK)), lambda at: F.slice(v, at + 1, F.lit(BLOCK)))
+    return _named(values, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(F.slice(F.array(v), 2, 1)))
+
+
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """The rule's spans in code points: what the pattern splits off and what it matches alternate,
     so their lengths add up to the positions."""
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    steps = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
+    long = lambda x: F.char_length(F.regexp_extract(x, rule.pattern, rule.group) if rule.group else x) >= rule.least
+    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda gap, x: F.struct(F.char_length(gap).alias("gap"), F.char_length(x).alias("hit"), long(x).alias("long")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        long = F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least if rule.group else F.char_length(x["hit"]) >= rule.least
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(long, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def placed(steps: Column) -> Column:
+        before = _running(F.transform(steps, lambda x: x["gap"] + x["hit"]), 0, lambda a, x: a + x)
+        spans = F.zip_with(before, steps, lambda at, x: F.struct((at + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + x["gap"] + x["hit"]).alias("end"), F.when(x["long"], F.lit(rule.kind)).alias("kind")))
+        return F.filter(spans, lambda x: x["kind"].isNotNull())
 
     may = text.rlike(rule.pattern)
     if rule.hint:
         may = F.when(text.contains(rule.hint), may).otherwise(False)
-    return F.when(may, F.aggregate(steps, state, step)["spans"]).otherwise(F.array().cast(SPANS))
+    return F.when(may, _named(sizes, placed)).otherwise(F.array().cast(SPANS)).cast(SPANS)
 
 
-def _ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row for each blob: the current rules that have seen it, and their spans, sorted."""
+def _ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...], blobs: DataFrame) -> DataFrame:
+    """One row for each of ``blobs`` that the ledger knows: the current rules that have seen it, and their spans, sorted."""
     versions = F.array(*[F.lit(r.version) for r in rules])
     ranks = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.version, i)])
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(path).join(blobs.select("blob"), "blob", "left_semi")
     gathered = rows.groupBy("blob").agg(
         F.array_intersect(versions, F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"), F.flatten(F.collect_list("spans")).alias("spans")
     )
@@ -89,6 +114,13 @@ def _ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...]) -> DataFram
     return gathered.select("blob", "rules", F.array_sort(F.array_distinct(spans)).cast(SPANS).alias("spans"))
 
 
+def compact(spark: SparkSession, ledger: str, target: str) -> None:
+    """Writes the ledger to a new folder with one row for each blob, spans of all rule versions kept; scans may go on from there."""
+    rows = spark.read.parquet(ledger)
+    once = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    once.write.parquet(target)
+
+
 def ledger_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -111,10 +143,11 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledg
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.select(F.col(path_col).alias("path"), F.sha2(text, 256).alias("blob"), text.alias("text"))
     paths = written(held.select("path", "blob"), "paths")
-    blobs = paths.groupBy("blob").agg(F.min("path").alias("first"))
+    blobs = written(paths.groupBy("blob").agg(F.min("path").alias("first")), "blobs")
+    every = blobs
     none = F.array().cast("array<string>")
     if ledger_exists(spark, ledger):
-        seen = _ledger(spark, ledger, rules).select("blob", "rules")
+        seen = _ledger(spark, ledger, rules, every).select("blob", "rules")
         blobs = blobs.join(seen, "blob", "left").withColumn("rules", F.coalesce("rules", none)).where(F.size("rules") < len(rules))
     else:
         blobs = blobs.withColumn("rules", none)
@@ -125,7 +158,7 @@ def scan(docs: DataFrame, path_col: str = "doc_id", text_col: str = "text", ledg
     applied = F.array_except(F.array(*[F.lit(r.version) for r in rules]), F.col("rules"))
     found = unseen.select("blob", applied.alias("rules"), F.concat(*named).alias("spans")).dropDuplicates(["blob"])
     found.write.mode("append").parquet(ledger)
-    known = _ledger(spark, ledger, rules).select(F.col("blob").alias("id"), "spans")
+    known = written(_ledger(spark, ledger, rules, every).select(F.col("blob").alias("id"), "spans"), "known")
     return paths.join(known, F.col("blob") == F.col("id"), "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
@@ -135,15 +168,20 @@ def spans_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every run of overlapping spans (sorted by start) replaced by one mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    bounds = F.zip_with(_running(F.transform(spans, lambda s: s["end"]), 0, lambda a, x: F.greatest(a, x)), spans, lambda a, s: F.struct(a.alias("from"), s["start"].alias("to"), s["end"].alias("end")))
+    # What stands before each run. Parts of the text that hold the gaps of a block are cut out first, as every cut counts from the beginning of what it cuts.
+    cut = lambda x, a, b: F.substring(x, a + 1, b - a)
+
+    def pieces(block: Column) -> Column:
+        base, end = block[0]["from"], F.element_at(block, -1)["to"]
+        return _named(cut(text, base, end), lambda part: F.transform(block, lambda g: cut(part, g["from"] - base, g["to"] - base)))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def joined(found: Column) -> Column:
+        gaps = F.flatten(F.transform(_blocks(F.filter(found, lambda g: g["to"] >= g["from"])), pieces))
+        last = F.array_max(F.transform(found, lambda g: g["end"]))
+        return F.array_join(F.concat(gaps, F.array(cut(text, last, F.char_length(text)))), mark)
 
-    done = F.aggregate(spans, state, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(_named(bounds, joined))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from logloom.llm._spark import partitions, written
 SHARDS = 16
 HEADS = 4096
 BINS = 32
-BUCKETS = 1024  # at most, so that the driver sees at most HEADS + BUCKETS * BINS items
+BUCKETS = 1024  # fixed, so that shards don't depend on the session; the driver sees at most HEADS + BUCKETS * BINS items
 
 
 def longest_first(items: list[tuple[int, object]], shards: int) -> dict[object, int]:
@@ -74,9 +74,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     floor = max(1, -(-total // heads))
     head = groups.where(F.col("bytes") >= floor)
-    buckets = min(BUCKETS, partitions(spark))
-    tail = groups.where(F.col("bytes") < floor).select(F.pmod(F.xxhash64("grp"), F.lit(buckets)).cast("int").alias("bucket"), "bytes", "grp")
-    tail = tail.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.desc("bytes"), "grp")
+    tail = groups.where(F.col("bytes") < floor).select(F.pmod(F.xxhash64("grp"), F.lit(BUCKETS)).cast("int").alias("bucket"), "bytes", "grp")
+    tail = tail.repartition(min(BUCKETS, partitions(spark)), "bucket").sortWithinPartitions("bucket", F.desc("bytes"), "grp")
     binned = written(tail.mapInArrow(_bins(bins), "grp string, bytes bigint, item bigint"), "bins")
     items = [(r.bytes, f"bin {r.item:012d}") for r in binned.groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()]
     items += [(r.bytes, r.grp) for r in head.collect()]

@@ -182,10 +182,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     prints = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     edges = near_edges(prints.select("fp"), radius, parts, tile)
     reached = connected_components(edges)
-    linked = reached.join(prints, F.col("node") == F.col("fp")).select("node", "component", "least")
-    lowest = linked.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("lowest"))
+    linked = written(reached.join(prints, F.col("node") == F.col("fp")).select("node", "component", "least"), "linked")
+    lowest = written(linked.groupBy(F.col("component").alias("of")).agg(F.min("least").alias("lowest")), "lowest")
     linked = linked.join(lowest, F.col("component") == F.col("of")).select("node", "lowest")
     known = prints.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("print"), F.coalesce("lowest", "least").alias("component_id"))
+    known = written(known, "known")
     return own.join(known, F.col("fp") == F.col("print")).select("doc_id", "fp", "component_id")
 
 

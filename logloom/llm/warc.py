@@ -183,8 +183,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     folder = folder or shared_path(spark, "warc")
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"))
-    firsts = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first")).hint("shuffle_hash")
-    known = rows.join(firsts, "sha", "left")
+    firsts = rows.where(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
+    known = rows.join(written(firsts, "firsts").hint("shuffle_hash"), "sha", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     records = known.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), base32(F.col("sha")).alias("sha"), "first", revisit.alias("revisit"))
     return written(records.mapInArrow(_writer(folder), INDEX), "warc-index")
@@ -247,6 +247,7 @@ def resolved(records: DataFrame) -> DataFrame:
     )
     sized = written(sized, "records")
     full = sized.where("record_type = 'response'").groupBy(F.col("page_id").alias("id"), F.col("payload_digest").alias("d")).agg(F.max("own_bytes").alias("full_bytes"))
+    full = written(full, "full")
     responses = sized.where("record_type = 'response'").select("page_id", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     revisits = sized.where("record_type = 'revisit'").join(full, (F.col("refers_to") == F.col("id")) & (F.col("payload_digest") == F.col("d")))
     return responses.unionByName(revisits.select("page_id", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to"))

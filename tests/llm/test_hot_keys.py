@@ -1,0 +1,109 @@
+"""Most rows on one key: Spark splits that key's partition wherever it is joined. Its plans say so, with low thresholds."""
+
+import re
+import sys
+from contextlib import contextmanager
+from pathlib import Path
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+from logloom.llm import chat, embeddings, secrets, sharding, simhash, warc  # noqa: E402
+from logloom.llm._components import connected_components  # noqa: E402
+from logloom.llm._spark import written  # noqa: E402
+
+LOW = {
+    "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128b", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256b",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextmanager
+def joins(spark):
+    """The joins of all plans that ran, as their final plans name them."""
+    before = {k: spark.conf.get(k, None) for k in LOW}
+    for k, v in LOW.items():
+        spark.conf.set(k, v)
+    store, found = spark._jsparkSession.sharedState().statusStore(), []
+    start = store.executionsCount()
+    try:
+        yield found
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+        spark._jsc.sc().listenerBus().waitUntilEmpty()
+        plans = store.executionsList()
+        for i in range(start, plans.size()):
+            text = plans.apply(i).physicalPlanDescription().split("== Initial Plan ==")[0]
+            found += re.findall(r"(?:SortMergeJoin|ShuffledHashJoin)(?:\(skew=true\))?", text)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """6,000 rows over 12 partitions; nine in ten have one text, with a secret in it."""
+    rows = spark.range(0, 6000, 1, 12)
+    return written(rows.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, "all the same words token=abcdef123").otherwise(F.concat(F.lit("w"), F.sha2(F.col("id").cast("string"), 256))).alias("text")), "hot")
+
+
+def test_simhash(spark, docs):
+    with joins(spark) as found:
+        assert simhash.simhash_components(docs).where("component_id = 1").count() >= 5400
+    assert "SortMergeJoin(skew=true)" in found
+
+
+def test_components(spark):
+    """A star: one node has all edges."""
+    edges = written(spark.range(1, 20_000, 1, 12).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")), "star")
+    with joins(spark) as found:
+        assert connected_components(edges).where("component = 0").count() == 20_000
+    assert "SortMergeJoin(skew=true)" in found
+
+
+def test_secrets(spark, docs):
+    with joins(spark) as found:
+        assert secrets.scan(docs).where("spans[0].kind = 'assign'").count() == 5400
+    assert "SortMergeJoin(skew=true)" in found
+
+
+def test_archives(spark, docs):
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    with joins(spark) as found:
+        assert warc.resolved(warc.read_archives(warc.write_archives(pages))).where("refers_to = 1").count() == 5399
+    assert {"ShuffledHashJoin(skew=true)", "SortMergeJoin(skew=true)"} <= {*found}
+
+
+def test_sharding(spark, docs):
+    with joins(spark) as found:
+        assert sharding.shard(docs).count() == 6000
+    assert "SortMergeJoin(skew=true)" in found
+
+
+def test_embeddings(spark):
+    vector = F.array(*[(F.hash("id", F.lit(i)) % 1000).cast("double") for i in range(8)])
+    rows = spark.range(0, 4000, 1, 12).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 10 > 0, F.array(*[F.lit(1.0)] * 8)).otherwise(vector).alias("embedding"), F.lit(1).alias("label"))
+    with joins(spark) as found:
+        assert embeddings.near_duplicates(written(rows, "vectors")).where("component_id = 1").count() >= 3600
+    assert "SortMergeJoin(skew=true)" in found
+
+
+def test_chat(spark):
+    """All conversations begin with the same turn."""
+    turns = spark.range(0, 4000, 1, 12).select(F.col("id").alias("conv_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    turns = turns.withColumn("role", F.when(F.col("turn") == 0, "user").otherwise("assistant")).withColumn("text", F.when(F.col("turn") == 0, "hello").otherwise(F.sha2(F.col("conv_id").cast("string"), 256)))
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    with joins(spark) as found:
+        assert chat.read_back(chat.prefix_forest(written(turns, "turns"), tokenizer), tokenizer).where("n_turns = 2").count() == 4000
+    assert found.count("SortMergeJoin(skew=true)") >= 3  # sizes of the path, ancestors, texts
+
+
+def test_shards_do_not_depend_on_the_session(spark, docs):
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(tuple(r) for r in sharding.shard(docs).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
