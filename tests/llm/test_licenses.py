@@ -1,0 +1,51 @@
+"""Full license texts, however wrapped and respelt, and a caller's own texts."""
+
+import re
+import textwrap
+
+import duckdb
+
+from logloom.llm import licenses
+
+
+def test_whole_texts_are_found(spark, tmp_path):
+    full = licenses.full_texts()
+    names = {n for n, _ in full}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= names
+    spelt = lambda t: re.sub(r"\bsublicense\b", "sub-license", re.sub(r"\blicense\b", "licence", t))
+    bent = lambda t: "Copyright (c) 2021 The Authors\n\n" + spelt(textwrap.fill(" ".join(t.split()), 60)).upper()
+    texts = [*full, *[(n, bent(t)) for n, t in full if n in ("Apache-2.0", "MPL-2.0")], *[(n, t + "\nAnd more.") for n, t in full if n == "GPL-3.0"][:1]]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text_license for r in licenses.match(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [*[n for n, _ in texts[:-1]], None]
+    for name in ("BSD-3-Clause", "BSL-1.0", "Unlicense"):
+        text = max((t for n, t in licenses.KNOWN if n == name), key=len)
+        one = spark.createDataFrame([(1, "(c) 1999 X\n" + text.replace("-", " - "))], "doc_id long, text string")
+        assert licenses.match(one).first().text_license == name
+    (tmp_path / "House.txt").write_text("You may read this\ntext per cent per\ncent by per cent.")
+    known = licenses.digests(spark, licenses.texts_of(spark, str(tmp_path)))
+    one = spark.createDataFrame([(1, "YOU may read this text,\n\n percent percent by percent"), (2, "a\n\nyou may read this text percent per cent by percent\n\nb"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text_license, r.licenses) for r in licenses.match(one, known).collect()) == [(1, "House", ""), (2, None, "House"), (3, None, "")]
+
+
+def test_more_texts_than_are_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (2, "x\nReleased under the MIT License.\ny"), (3, "")], "doc_id long, text string")
+    want = sorted(licenses.match(docs).collect())
+    known = licenses.digests(spark)
+    monkeypatch.setattr(licenses, "MOST_KNOWN", 3)
+    assert sorted(licenses.match(docs, known).collect()) == want
+
+
+def test_digests_as_in_sql(spark):
+    """The canonical form of every known text, by the other engine."""
+    sql = licenses.oracle_sql()
+    known = sql[len("WITH ") : sql.index("canons AS")].rstrip().rstrip(",")
+    rows = duckdb.connect().execute(f"WITH {known} SELECT digest, license FROM known").fetchall()
+    assert sorted(rows) == sorted((r.digest, r.license) for r in licenses.digests(spark).collect())
+
+
+def test_very_long_text(spark):
+    notice = "Released under the MIT License."
+    docs = spark.createDataFrame([(1, "licence word " * 800_000), (2, (notice + "\n") * 100_000)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_matches) for r in licenses.match(docs).collect()}
+    assert got == {1: ("", 0), 2: ("MIT", 100_000)}
