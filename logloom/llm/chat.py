@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,14 @@ class ChatTokens:
         self._tokenizer.encode_special_tokens = True
         size = self._tokenizer.get_vocab_size()
         self.turn, self.body, self.end = size, size + 1, size + 2
+        # Roles are few and repeat, so what is known of them is kept.
+        self._role_ids = lru_cache(4096)(lambda role: self._tokenizer.encode(escaped(role), add_special_tokens=False).ids)
+        self._role = lru_cache(4096)(lambda ids: self.decode(list(ids)))
 
     def encode(self, roles: list[str], texts: list[str]) -> list[tuple[list[int], int]]:
         """(ids, where the text begins) of each turn; the text ends before the last id."""
-        split = self._tokenizer.encode_batch([escaped(x) for pair in zip(roles, texts, strict=True) for x in pair], add_special_tokens=False)
-        return [([self.turn, *r.ids, self.body, *t.ids, self.end], len(r.ids) + 2) for r, t in zip(split[::2], split[1::2], strict=True)]
+        split = self._tokenizer.encode_batch([escaped(x) for x in texts], add_special_tokens=False)
+        return [([self.turn, *r, self.body, *t.ids, self.end], len(r) + 2) for r, t in zip(map(self._role_ids, roles), split, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         return self._tokenizer.decode(ids, skip_special_tokens=False)
@@ -72,7 +76,7 @@ class ChatTokens:
         body = ids.index(self.body)
         if ids[0] != self.turn or ids[-1] != self.end:
             raise ValueError("not a turn")
-        role, text = self.decode(ids[1:body]), self.decode(ids[body + 1 : -1])
+        role, text = self._role(tuple(ids[1:body])), self.decode(ids[body + 1 : -1])
         return f"{TURN}{role}{BODY}{text}{END}", role, text
 
 

@@ -87,7 +87,10 @@ def parsed(frame: bytes) -> Iterator[tuple]:
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
-    """The skippable frame for frames of (compressed, plain) bytes."""
+    """The skippable frame for frames of (compressed, plain) bytes. Sizes have 32 bits in it: a frame is closed at ``FRAME`` bytes, and
+    the one record that may reach over that is a value of a row, which Spark holds to 2 GiB."""
+    if any(max(f) >= 1 << 32 for f in frames):
+        raise ValueError("a frame of 4 GiB or more")
     body = b"".join(struct.pack("<II", *f) for f in frames) + struct.pack("<IBI", len(frames), 0, SEEKABLE_MAGIC)
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
