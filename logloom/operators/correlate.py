@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank
+from logloom.operators.lineage import numbered
+from logloom.sources.tables import materialised
 
 #: Tactics in kill-chain order.
 TACTICS = (
@@ -93,22 +95,33 @@ def incidents(found: DataFrame) -> DataFrame:
 
 
 def members(found: DataFrame, of: DataFrame) -> DataFrame:
-    """The detections of incidents, a row each: as many as there are, in no one place."""
-    return found.join(of.select("incident_key", "key_type", F.col("correlation_key").alias("key")), ["key_type", "key"])
+    """The detections of incidents, a row each: as many as there are, in no one place. The incidents are written first, so that
+    Spark can split an entity with many detections over tasks."""
+    keys = materialised(of.select("incident_key", "key_type", F.col("correlation_key").alias("key")), "incidents")
+    return found.join(keys, ["key_type", "key"])
 
 
-def narratives(rows: DataFrame) -> DataFrame:
-    """(incident_key, member_event_ids, narrative) from members. A narrative tells all of an incident's members, so ask for the
-    incidents that are to be read; the counts of ``incidents`` need none of this."""
-    step = F.struct("at", "event_id", "title", "technique_id", "tactic")
-    told = rows.groupBy("incident_key", "key").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+STEPS = 10_000  # detections told in one part of a narrative
+
+
+def narratives(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(incident_key, part, parts, member_event_ids, narrative) from members. A narrative tells all of an incident's members, in order;
+    it comes in parts of ``steps`` of them, so that no entity's history is gathered in one place. The parts of an incident, put
+    together in order, are its narrative; most have one part."""
+    order = ["at", "event_id", "title", "technique_id", "tactic"]
+    placed = numbered(rows.select("incident_key", "key", *order), ["incident_key"], order, "place").withColumn("part", F.floor(F.col("place") / steps))
+    told = placed.groupBy("incident_key", "key", "part").agg(F.array_sort(F.collect_list(F.struct("place", *order))).alias("steps"))
+    last = F.max("part").over(Window.partitionBy("incident_key"))  # over parts, not members
+    told = told.withColumn("parts", last + 1)
     filled = lambda x, default: F.when(blank(x), F.lit(default)).otherwise(x)
-    part = lambda s: F.concat(
+    step = lambda s: F.concat(
         F.lit("'"), filled(s["title"], "Security Telemetry Event"), F.lit("' ("), filled(s["technique_id"], "Unknown Technique"), F.lit(", "), canonical_tactic(s["tactic"]), F.lit(") at "),
         F.coalesce(F.date_format(s["at"], "yyyy-MM-dd HH:mm:ss'Z'"), F.lit("unknown time")),
     )
-    text = F.concat(F.col("key"), F.lit(" triggered "), F.array_join(F.transform("steps", part), ", followed by "), F.lit(DISCLAIMER))
-    return told.select("incident_key", F.array_distinct(F.transform("steps", lambda s: s["event_id"])).alias("member_event_ids"), text.alias("narrative"))
+    begin = F.when(F.col("part") == 0, F.concat(F.col("key"), F.lit(" triggered "))).otherwise(", followed by ")
+    end = F.when(F.col("part") == F.col("parts") - 1, F.lit(DISCLAIMER)).otherwise("")
+    text = F.concat(begin, F.array_join(F.transform("steps", step), ", followed by "), end)
+    return told.select("incident_key", "part", "parts", F.array_distinct(F.transform("steps", lambda s: s["event_id"])).alias("member_event_ids"), text.alias("narrative"))
 
 
 def merge(known: DataFrame, new: DataFrame) -> DataFrame:

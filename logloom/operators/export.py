@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -86,6 +86,20 @@ def taxonomy(schema: StructType) -> dict:
     return {"schema_version": SCHEMA_VERSION, "categories": list(CATEGORIES), "fields": fields(schema), "ecs_aliases": dict(ECS)}
 
 
+def exported(events: DataFrame, kind: str, event_ids: list[str] | DataFrame | None = None, vendor: str = VENDOR, product: str = PRODUCT) -> DataFrame:
+    """(event_id, wire) of all events, of one id, or of many (a list, or a table with event_id); ids that are not stored give no row."""
+    if isinstance(event_ids, DataFrame):
+        events = events.join(event_ids.select("event_id").distinct(), "event_id", "left_semi")
+    elif event_ids is not None:
+        events = events.where(F.col("event_id").isin(event_ids))
+    return events.select("event_id", to_wire(kind, vendor, product).alias("wire"))
+
+
+def write_files(events: DataFrame, path: str, kind: str, vendor: str = VENDOR, product: str = PRODUCT) -> None:
+    """One event a line, in text files under ``path``."""
+    exported(events, kind, None, vendor, product).select("wire").write.mode("overwrite").text(path)
+
+
 def to_wire(kind: Column | str, vendor: str = VENDOR, product: str = PRODUCT) -> Column:
     """By name of the format, in any case; unknown names give ECS."""
     name = F.lower(kind if isinstance(kind, Column) else F.lit(kind))

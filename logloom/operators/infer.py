@@ -1,6 +1,7 @@
 """Inference of parsers for unknown lines: template mining, typing of tokens, patterns.
 
-A miner's tree of templates has the number of tokens as its first level, so lines are dealt by that number and mined in order.
+A miner's tree of templates has the number of tokens as its first level and the first four tokens below it, so lines are dealt by
+these leaves and mined in order within each.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,89 +62,86 @@ def first_template(toks: Column) -> Column:
 _PAIR = re.compile(r"[a-zA-Z_][a-zA-Z0-9_.-]*=.", re.DOTALL)
 
 
-def _near(template: list[str], line: list[str]) -> float:
-    same = 0
-    for t, x in zip(template, line, strict=True):
-        same += t == VARIABLE or t == x or ("=" in t and _PAIR.match(x) is not None and t.split("=", 1)[0] == x.split("=", 1)[0])
-    return same / len(line)
+class _Leaf:
+    """Templates of lines with as many tokens and the same first four, masked. Tokens are numbers, and templates the rows of a
+    table, so that a line is held against all of them at once."""
 
+    def __init__(self, width: int) -> None:
+        self.names, self.ids = [VARIABLE], {VARIABLE: 0}
+        self.n, self.tokens, self.keys = 0, np.zeros((16, width), np.int32), np.zeros((16, width), np.int32)
 
-def _merged(template: list[str], line: list[str]) -> list[str]:
-    out = []
-    for t, x in zip(template, line, strict=True):
-        if t != x and not (_PAIR.match(x) and _PAIR.match(t) and t.split("=", 1)[0] == x.split("=", 1)[0]):
-            t = VARIABLE
-        elif t != x:
-            t = t.split("=", 1)[0] + "=" + VARIABLE
-        out.append(t)
-    return out
+    def _id(self, token: str) -> int:
+        n = self.ids.setdefault(token, len(self.names))
+        if n == len(self.names):
+            self.names.append(token)
+        return n
 
+    def _key(self, token: str, line: bool) -> int:
+        """The number of a pair's key. What has none differs from all, in lines and in templates."""
+        if line and not _PAIR.match(token):
+            return -2
+        key, sign, _ = token.partition("=")
+        return self._id(key) if sign else -1
 
-class _Tree:
-    """Templates of lines with as many tokens, under the first four tokens of the line that each began with."""
-
-    def __init__(self) -> None:
-        self.root: dict = {}
-        self.templates: list[list[str]] = []
-
-    def _leaf(self, line: list[str]) -> list[int]:
-        node = self.root
-        for t in line[:DEPTH]:
-            keyed = t.split("=", 1)[0] + "=" + VARIABLE if _PAIR.match(t) else None
-            node = next((node[k] for k in (t, keyed, VARIABLE) if k in node), None)
-            if node is None:
-                return []
-        return node.get(None, [])
+    def template(self, i: int) -> list[str]:
+        return [self.names[t] for t in self.tokens[i]]
 
     def add(self, line: list[str], fresh: list[str]) -> int:
-        """The number of the line's cluster: the most similar at its leaf, the first of equals, or a new one."""
-        best, near = None, -1.0
-        for i in self._leaf(line):
-            s = _near(self.templates[i], line)
-            if s >= SIMILAR and s > near:
-                best, near = i, s
-        if best is not None:
-            self.templates[best] = _merged(self.templates[best], line)
-            return best
-        node = self.root
-        for t in fresh[:DEPTH]:
-            node = node.setdefault(t, {})
-        node.setdefault(None, []).append(len(self.templates))
-        self.templates.append(fresh)
-        return len(self.templates) - 1
+        """The number of the line's cluster: the most similar, the first of equals, or a new one. Its template takes the line in."""
+        own, keys = np.array([self._id(t) for t in line]), np.array([self._key(t, True) for t in line])
+        if self.n:
+            same_key = self.keys[: self.n] == keys
+            near = ((self.tokens[: self.n] == own) | (self.tokens[: self.n] == 0) | same_key).sum(axis=1)
+            i = int(near.argmax())
+            if near[i] >= SIMILAR * len(line):
+                for j in np.flatnonzero((self.tokens[i] != own) & (self.tokens[i] != 0)):
+                    old = self.names[self.tokens[i, j]]
+                    kept = same_key[i, j] and _PAIR.match(old)
+                    new = old.partition("=")[0] + "=" + VARIABLE if kept else VARIABLE
+                    self.tokens[i, j], self.keys[i, j] = self._id(new), self._key(new, False)
+                return i
+        if self.n == len(self.tokens):
+            self.tokens, self.keys = (np.concatenate([x, np.zeros_like(x)]) for x in (self.tokens, self.keys))
+        self.tokens[self.n] = [self._id(t) for t in fresh]
+        self.keys[self.n] = [self._key(t, False) for t in fresh]
+        self.n += 1
+        return self.n - 1
 
 
 def _mined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (length, id, tokens, fresh template), sorted by length and id, to (length, id, cluster, template at that turn)."""
-    length, tree = None, _Tree()
+    """Rows (length, leaf, id, tokens, fresh template), sorted by the first three, to (length, leaf, id, cluster, template at that turn)."""
+    at, tree = None, None
     for batch in batches:
         numbers, found = [], []
-        for n, line, fresh in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if n != length:
-                length, tree = n, _Tree()
+        for *where, line, fresh in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+            if where != at:
+                at, tree = where, _Leaf(len(line))
             numbers.append(tree.add(line, fresh))
-            found.append(tree.templates[numbers[-1]])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["length", "id", "cluster", "template"])
+            found.append(tree.template(numbers[-1]))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(numbers, pa.int32()), pa.array(found, pa.list_(pa.string()))], ["length", "leaf", "id", "cluster", "template"])
 
 
 def mine(lines: DataFrame, raw: str = "raw_message", order: str = "ingest_seq") -> DataFrame:
     """(id, raw_message, cluster, template): each line's cluster, with the cluster's template after all lines.
 
-    Mining depends on order, so lines with as many tokens are mined in order by one task. What reaches it is bounded by the
-    variety of the lines, not by their number: a shape (the line with its variables taken out) goes there once, with the first
-    line that has it, and only templates are kept in memory. Later lines of the shape join that line's cluster. Null and
-    blank lines are left out.
+    A leaf is what has as many tokens and the same first ``DEPTH`` of them, variables taken out; lines are clustered within their
+    leaf, in order, so leaves are mined in parallel. What reaches a leaf's task is the variety of its lines, not their number: a shape
+    (the line with its variables taken out) goes there once, with the first line that has it, and only templates are kept in
+    memory. Later lines of the shape join that line's cluster. Null and blank lines are left out; an empty table gives no rows.
     """
     toks = tokens(F.col(raw))
     rows = lines.where(F.coalesce(F.col(raw).rlike(r"\S"), F.lit(False))).select(F.col(order).cast("long").alias("id"), F.col(raw).alias("raw_message"), toks.alias("tokens"))
     keyed = rows.withColumn("fresh", first_template(F.col("tokens"))).withColumn("length", F.size("tokens"))
     shapes = keyed.groupBy("length", "fresh").agg(F.min(F.struct("id", "tokens")).alias("first"))
-    sent = shapes.select("length", F.col("first.id").alias("id"), F.col("first.tokens").alias("tokens"), "fresh")
-    mined = materialised(sent.repartition("length").sortWithinPartitions("length", "id").mapInArrow(_mined, "length int, id bigint, cluster int, template array<string>"), "mined")
-    last = mined.groupBy("length", "cluster").agg(F.max(F.struct("id", "template")).alias("last")).select("length", "cluster", F.col("last.template").alias("template"))
-    by_shape = sent.select("length", "id", "fresh").join(mined.select("length", "id", "cluster"), ["length", "id"]).join(last, ["length", "cluster"])
-    joined = keyed.join(by_shape.select("length", "fresh", "cluster", "template"), ["length", "fresh"])
-    name = F.concat_ws("-", F.col("length").cast("string"), F.col("cluster").cast("string"))
+    leaf = F.array_join(F.slice("fresh", 1, DEPTH), " ")
+    sent = materialised(shapes.select("length", leaf.alias("leaf"), F.col("first.id").alias("id"), F.col("first.tokens").alias("tokens"), "fresh"), "shapes")
+    dealt = sent.repartition("length", "leaf").sortWithinPartitions("length", "leaf", "id")
+    mined = materialised(dealt.mapInArrow(_mined, "length int, leaf string, id bigint, cluster int, template array<string>"), "mined")
+    last = mined.groupBy("length", "leaf", "cluster").agg(F.max(F.struct("id", "template")).alias("last")).select("length", "leaf", "cluster", F.col("last.template").alias("template"))
+    of_line = mined.select("length", "leaf", "id", "cluster").join(last, ["length", "leaf", "cluster"])
+    by_shape = materialised(sent.select("length", "leaf", "id", "fresh").join(of_line, ["length", "leaf", "id"]), "clusters")
+    joined = keyed.join(by_shape.select("length", "fresh", "leaf", "cluster", "template"), ["length", "fresh"])
+    name = F.concat_ws("-", F.col("length").cast("string"), F.substring(F.sha2("leaf", 256), 1, 16), F.col("cluster").cast("string"))
     return joined.select("id", "raw_message", name.alias("cluster"), F.array_join("template", " ").alias("template"))
 
 
@@ -221,6 +220,25 @@ def synthesize(row, name: str | None = None, version: str = "1.0") -> DynamicPar
     return DynamicParser(name or row["suggested_name"], row["pattern"], mappings, row["confidence"], version, template=row["template"])
 
 
+def approve_all(inferred: DataFrame, registry: Registry, most: int = 100) -> int:
+    """Approves a parser for each template of ``infer``'s rows, from the row with the smallest id; returns how many. Parsers are part
+    of the plans that use them, so more than ``most`` templates are an error: merge them, or raise the bound. A name that another
+    template has already gets a number."""
+    first = inferred.groupBy("template").agg(F.min_by(F.struct(*[c for c in inferred.columns if c != "template"]), "id").alias("row"))
+    rows = first.select("template", "row.*").orderBy("template").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    taken: set[str] = set()
+    for row in rows:
+        name, n = row.suggested_name, 1
+        while name in taken:
+            n += 1
+            name = f"{row.suggested_name}_{n}"
+        taken.add(name)
+        registry.approve(synthesize(row, name))
+    return len(rows)
+
+
 class Registry:
     """Approved parsers by name, in versions. The latest active version of each is asked; plans built afterwards see changes."""
 

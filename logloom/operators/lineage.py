@@ -100,6 +100,34 @@ def empty_root() -> Column:
     return F.sha2(F.lit(""), 256)
 
 
+def with_empty(sealed: DataFrame, batches: DataFrame) -> DataFrame:
+    """The roots of all ``batches`` (batch_number): those without leaves have the root of nothing."""
+    joined = batches.select("batch_number").distinct().join(sealed, "batch_number", "left")
+    return joined.select("batch_number", F.coalesce("event_count", F.lit(0).cast("long")).alias("event_count"), F.coalesce("merkle_root", empty_root()).alias("merkle_root"))
+
+
+def totals(sealed: DataFrame) -> DataFrame:
+    """(batches, events): how many batches there are, and the sum of their events."""
+    return sealed.agg(F.count("*").alias("batches"), F.coalesce(F.sum("event_count"), F.lit(0).cast("long")).alias("events"))
+
+
+def leaf_records(leaves: DataFrame, normalized: DataFrame) -> DataFrame:
+    """Each leaf with the line it stands for, and the event that was stored of it, if one was."""
+    kept = normalized.select("raw_event_id", "raw_message", F.when(F.col("outcome.code") == "NORMAL", F.col("event_id")).alias("event_id"), "parser_name")
+    return leaves.join(kept, "raw_event_id", "left").select("batch_number", "leaf_index", "hash", "raw_event_id", "raw_message", "event_id", "parser_name")
+
+
+def proofs_by_hash(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """For each wanted (batch_number, hash), in any case: the proof of the first leaf with that hash; an empty one where there is none."""
+    asked = wanted.select("batch_number", F.lower("hash").alias("hash")).distinct()
+    # The wanted hashes are met by the leaves as they are; of equal leaves the first is found before the shuffle.
+    first = leaves.withColumn("hash", F.lower("hash")).join(asked, ["batch_number", "hash"], "left_semi").groupBy("batch_number", "hash").agg(F.min("leaf_index").alias("leaf_index"))
+    first = materialised(first, "first-leaves")
+    found = proofs(leaves, first, nodes).select("batch_number", F.lower("hash").alias("hash"), "leaf_index", "proof")
+    joined = asked.join(found, ["batch_number", "hash"], "left")
+    return joined.withColumn("proof", F.coalesce("proof", F.filter(F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("hash"), F.lit("").alias("side"))), lambda _: F.lit(False))))
+
+
 def proofs(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """For each wanted (batch_number, leaf_index): its hash and ``proof``, the siblings from below (level, hash, side). A node without
     a sibling has itself on its right."""

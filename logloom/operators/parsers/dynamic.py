@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ def port_only(x: Column) -> Column:
     return integer(tail)
 
 
+@lru_cache(256)
 def dynamic(spec: DynamicParser) -> Parser:
     """A parser whose expressions are made from the registry's row. Of mappings to one path the last that has a value wins."""
     names, n = group_numbers(spec.pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +35,8 @@ def average_confidence(confidence: Column) -> Column:
     return F.when(n > 0, F.floor((total * 20 + n) / (n * 2)).cast("double") / 1000).otherwise(F.lit(0.0))
 
 
-def confidence_tier(average: Column) -> Column:
-    return F.when(average >= 0.90, "HIGH").when(average >= 0.70, "MEDIUM").otherwise("LOW")
+def confidence_tier(average: Column, high: float = 0.90, medium: float = 0.70) -> Column:
+    return F.when(average >= high, "HIGH").when(average >= medium, "MEDIUM").otherwise("LOW")
 
 
 def valid_ip(ip: Column) -> Column:
@@ -57,31 +58,56 @@ def _hex_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256)
 
 
+class _Steps(list):
+    """A projection in steps, each a function of the DataFrame before it. Its Columns are unresolved, so they serve any table."""
+
+    def add(self, columns: dict[str, Column]) -> None:
+        self.append(lambda df: df.withColumns(columns))
+
+    def keep(self, *columns: Column | str) -> None:
+        self.append(lambda df: df.select(*columns))
+
+
+_KNOWN: OrderedDict[tuple, _Steps] = OrderedDict()
+
+
 def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.SigmaRule] = sigma.RULES, dynamic: Sequence[Parser] = ()) -> DataFrame:
     """``raw`` (raw_message, source, received_at, ingest_seq) to one row for each line, with an ``outcome``: NORMAL, or the code
     and reason for which the line is quarantined.
 
     Ids follow from the line, its source, time and number, so that a task that runs again gives the same ids. Dynamic parsers are
-    asked first, by name. Times that a line lacks are ``received_at``. Null lines are empty lines.
+    asked first, by name. Times that a line lacks are ``received_at``. Null lines are empty lines. The expressions are made once for
+    each set of rules, parsers and settings, so the micro-batches of a stream share them.
     """
+    key = (raw.sparkSession.sparkContext.applicationId, config, repr(tuple(rules)), tuple(dynamic))
+    if key not in _KNOWN:
+        _KNOWN[key] = _steps(config, rules, dynamic)
+        if len(_KNOWN) > 8:
+            _KNOWN.popitem(last=False)
+    for step in _KNOWN[key]:
+        raw = step(raw)
+    return raw
+
+
+def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[Parser]) -> _Steps:
+    steps = _Steps()
     parsers = [*sorted((p for p in dynamic if p.active), key=lambda p: p.name), *[p for p in NATIVE if p.active]]
     raw_line, line, received = F.col("raw_message"), F.col("line"), F.col("received_at")
-    hashed = raw.withColumns({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
-    hashed = hashed.withColumn("key", _hex_id(F.col("raw_hash"), F.col("source"), F.unix_micros(received), F.col("ingest_seq")))
+    steps.add({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
     fmt = F.coalesce(F.col("class.format"), F.lit("UNKNOWN"))
     route = F.when(raw_line.isNull(), -1)
     for i, p in enumerate(parsers):
         route = route.when(F.coalesce(p.takes(raw_line, fmt), F.lit(False)), i)
-    parsed = hashed.withColumn("route", route.otherwise(-1))
+    steps.add({"route": route.otherwise(-1), "key": _hex_id(F.col("raw_hash"), F.col("source"), F.unix_micros(received), F.col("ingest_seq"))})
     work, body = Work(), F.lit(None).cast(f"struct<{','.join(f'{k}:{v}' for k, v in FIELDS.items())}>")
     for i, p in reversed([*enumerate(parsers)]):
         here = F.col("route") == i
         body = F.when(here, p.parse(work.of(f"{i}", here), raw_line, line, received)).otherwise(body)
     for layer in sorted(work.layers):
-        parsed = parsed.withColumns(work.layers[layer])
+        steps.add(work.layers[layer])
     # Filters on parsed fields stay above this projection: moved below it, they would repeat the parsers for every field. The
     # partition's number, which is never negative, is what keeps the optimizer from moving them.
-    parsed = parsed.withColumns({"p": F.when(F.spark_partition_id() >= 0, body), "raw_low": F.lower(raw_line)})
+    steps.add({"p": F.when(F.spark_partition_id() >= 0, body), "raw_low": F.lower(raw_line)})
     by_route = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("route") + 1) if parsers else F.lit(None).cast("string")
     named = lambda values: F.when(F.col("route") >= 0, by_route(values))
     p = lambda k: F.col(f"p.{k}")
@@ -91,7 +117,7 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
     )
     transport = service(p("dst_port")) if config.port_services else F.lit(None).cast("string")
     threat = technique(p("dst_port"), F.lower(p("action")), F.col("raw_low")) if config.technique_mapping else F.lit(None).cast("struct<risk_score:int,technique_id:string,technique_name:string,tactic:string,category:string>")
-    built = parsed.select(
+    steps.keep(
         F.concat(F.lit("EVT-"), F.regexp_replace(F.substring("key", 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).alias("event_id"),
         F.concat(F.lit("RAW-"), F.substring("raw_hash", 1, 8), F.lit("-"), F.substring("key", 33, 8)).alias("raw_event_id"),
         "raw_hash", "raw_message", F.col("source").alias("ingestion_source"), "received_at", "ingest_seq", "class", "route",
@@ -106,8 +132,9 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
     )
     found = sigma.evaluate(rules) if config.sigma else F.array().cast(f"array<{sigma.MATCH}>")
     if config.sigma:
-        built = built.withColumns(sigma.fields(rules)).withColumns(sigma.lowered(rules))
-    scored = built.withColumn("errors", validation_errors()).withColumn("sigma_matches", F.when(F.col("parse_error").isNull() & (F.col("route") >= 0), found)).withColumn("average_confidence", average_confidence(F.col("confidence")))
+        steps.add(sigma.fields(rules))
+        steps.add(sigma.lowered(rules))
+    steps.add({"errors": validation_errors(), "sigma_matches": F.when(F.col("parse_error").isNull() & (F.col("route") >= 0), found), "average_confidence": average_confidence(F.col("confidence"))})
     errors = F.col("errors")
     outcome = (
         F.when(F.col("route") < 0, F.struct(F.lit("UNPARSEABLE_FORMAT").alias("code"), F.lit("No parser takes this line").alias("reason"), F.col("class.format").alias("detected_format")))
@@ -115,12 +142,13 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
         .when(F.size(errors) > 0, F.struct(F.lit("VALIDATION_FAILED").alias("code"), F.array_join(errors, "; ").alias("reason"), F.col("format").alias("detected_format")))
         .otherwise(F.struct(F.lit("NORMAL").alias("code"), F.lit(None).cast("string").alias("reason"), F.col("format").alias("detected_format")))
     )
-    return scored.select(
+    steps.keep(
         "event_id", "raw_event_id", "raw_hash", "raw_message", "ingestion_source", "received_at", "ingest_seq", "class", "timestamp_text", "timestamp_utc",
         "event", "source", "destination", "network", "observer", F.struct("technique.*", "sigma_matches").alias("threat"), "raw", "extensions",
         "format", "parser_name", "parser_version", F.transform_values("confidence", lambda k, v: v / 100).alias("mapping_confidence"), "average_confidence",
-        confidence_tier(F.col("average_confidence")).alias("confidence_tier"), (F.col("average_confidence") < config.medium_confidence).alias("low_confidence"), outcome.alias("outcome"),
+        confidence_tier(F.col("average_confidence"), config.high_confidence, config.medium_confidence).alias("confidence_tier"), (F.col("average_confidence") < config.medium_confidence).alias("low_confidence"), outcome.alias("outcome"),
     )
+    return steps
 
 
 def events(normalized: DataFrame) -> DataFrame:
@@ -134,5 +162,3 @@ def quarantine(normalized: DataFrame) -> DataFrame:
         "raw_event_id", "raw_hash", "raw_message", "ingest_seq", F.col("outcome.code").alias("failure_code"), F.col("outcome.reason").alias("failure_reason"),
         F.col("outcome.detected_format").alias("detected_format"), F.lit(0).alias("retry_count"), F.lit("NEW").alias("status"), F.col("received_at").alias("created_at"),
     )
-
-

@@ -430,8 +430,7 @@ def prs13_dynamic_parser(spark, sf_dir):
     """All lines again, with a parser that was inferred from the unknown ones and approved."""
     unknown = quarantine(normalized(spark, sf_dir)).where("failure_code = 'UNPARSEABLE_FORMAT'")
     registry = infer.Registry()
-    for row in infer.infer(infer.mine(unknown)).dropDuplicates(["template"]).orderBy("template").limit(100).collect():
-        registry.approve(infer.synthesize(row))
+    infer.approve_all(infer.infer(infer.mine(unknown)), registry)
     rows = normalize(raw_logs(spark, sf_dir), dynamic=registry.parsers())
     return rows.groupBy("format", F.col("outcome.code").alias("code")).agg(F.count("*").alias("n"))
 

@@ -32,9 +32,12 @@ def read_json_array(spark: SparkSession, path: str, source: str = "FILE", receiv
 
 
 def from_requests(df: DataFrame, body: str = "body", source: str = "REST", received: Column | None = None) -> DataFrame:
-    """Single requests: an object's ``log`` or ``message`` text, or the body as it is; an object may name its ``source``."""
+    """Single requests: an object's ``log`` or ``message`` text, or, as text, the map that it is ({key=value, key=value}); what is no
+    object is the line itself. An object may name its ``source``. Null and blank lines are dropped; equal requests stay apart."""
     fields = F.from_json(F.col(body), "map<string,string>")
-    text = F.coalesce(fields["log"], fields["message"], F.col(body))
+    pairs = F.transform(F.map_entries(fields), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))
+    whole = F.when(F.ltrim(F.col(body)).startswith("{"), F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")))
+    text = F.coalesce(fields["log"], fields["message"], whole, F.col(body))
     rows = df.select(text.alias("raw_message"), F.coalesce(fields["source"], F.lit(source)).alias("named"))
     when = received if received is not None else F.current_timestamp()
     rows = rows.where(~blank(F.col("raw_message")))
@@ -96,9 +99,17 @@ class SyslogUdp(DataSource):
         return _Datagrams(self.options)
 
 
-def stream_tcp(spark: SparkSession, host: str, port: int = 1514) -> DataFrame:
+LONGEST = 65_536  # bytes of a framed line
+
+
+def framed(lines: DataFrame, column: str = "value", longest: int = LONGEST) -> DataFrame:
+    """Lines that a frame can hold; longer ones fail to frame and are left out."""
+    return lines.where(F.octet_length(column) <= longest)
+
+
+def stream_tcp(spark: SparkSession, host: str, port: int = 1514, longest: int = LONGEST) -> DataFrame:
     """Lines from a TCP socket; Spark's socket source, which cannot replay."""
-    return spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return framed(spark.readStream.format("socket").option("host", host).option("port", port).load(), longest=longest)
 
 
 def stream_files(spark: SparkSession, path: str) -> DataFrame:

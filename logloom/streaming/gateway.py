@@ -1,4 +1,4 @@
-"""A stream of raw lines to tables of events, quarantined lines, alerts and metrics."""
+"""A stream of raw lines to tables of events, quarantined lines and alerts; ``jobs`` has what runs over these at intervals."""
 
 from __future__ import annotations
 

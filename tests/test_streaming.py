@@ -57,3 +57,66 @@ def test_rates(spark, tmp_path):
     query.awaitTermination()
     rows = {r.n: r.eps for r in spark.table("rates").collect()}
     assert rows[5] == 1.0 and spark.table("rates").count() == 14
+
+
+def test_jobs_over_the_tables(spark, tmp_path):
+    """Correlation, drift, sealing and metrics over what the gateway wrote, run after run; a run that is repeated changes nothing."""
+    from datetime import datetime, timedelta
+
+    from logloom.plans.config import Config
+    from logloom.streaming import jobs
+
+    out, at = str(tmp_path / "out"), datetime(2026, 1, 5, 10, 0)
+    for job in jobs.JOBS.values():
+        job(spark, out, 0, at)  # nothing is written yet
+    lines = ["src=10.0.0.1 dst=10.0.0.2 dpt=22 action=deny", "src=10.0.0.1 dst=10.0.0.2 dpt=4444 action=allow", "src=10.0.0.1 dst=10.0.0.2 dpt=23 scan=1", "hello"]
+
+    def batch(n: int, when: datetime, some: list[str]) -> None:
+        rows = spark.createDataFrame([(x, "T", i, when) for i, x in enumerate(some)], "raw_message string, source string, ingest_seq long, received_at timestamp")
+        gateway.write_batch(normalize(rows), n, out)
+
+    batch(0, at - timedelta(minutes=5), lines)
+    later = at + timedelta(minutes=10)
+    for run, when in ((1, at), (1, at), (2, later)):
+        if run == 2:
+            batch(1, at + timedelta(minutes=9), ["src=10.9.9.9 dst=10.0.0.2 dpt=22 action=deny", "src=10.9.9.9 dst=10.0.0.2 dpt=6667 action=allow"])
+        for job in jobs.JOBS.values():
+            job(spark, out, run, when, Config(correlation_minutes=30))
+    found = jobs.latest(spark, out, "incidents", 9)
+    assert {r.correlation_key: r.status for r in found.collect()} == {"10.0.0.1": "OPEN", "10.9.9.9": "OPEN"}
+    assert [r.correlation_key for r in jobs.latest(spark, out, "incidents", 2).collect()] == ["10.0.0.1"]
+    batches = {r.batch_number: r.event_count for r in jobs.stored(spark, out, "batches").collect()}
+    assert batches == {1: 4, 2: 2}
+    figures = {r.run: (r.total, r.stored, r.quarantined) for r in jobs.stored(spark, out, "metrics").collect()}
+    assert figures == {1: (4, 3, 1), 2: (6, 5, 1)}
+    # Settings act: a window of five minutes sees the second batch only; no drift where any rate will do.
+    jobs.correlation(spark, str(tmp_path / "out"), 0, later, Config(correlation_minutes=5))
+    assert [r.correlation_key for r in spark.read.parquet(f"{out}/incidents/run=0").collect()] == ["10.9.9.9"]
+    assert jobs.latest(spark, out, "drift_alerts", 9).count() == 0
+
+
+def test_ticks(spark, tmp_path):
+    from logloom.streaming import jobs
+
+    rows = spark.createDataFrame([("src=10.0.0.1 dpt=22 x=y", "T", 0)], "raw_message string, source string, ingest_seq long").withColumn("received_at", F.lit("2026-01-05 10:00:00").cast("timestamp"))
+    gateway.write_batch(normalize(rows), 0, str(tmp_path / "out"))
+    (query,) = jobs.start(spark, str(tmp_path / "out"), str(tmp_path / "checkpoint"), names=("metrics",))
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            got = jobs.latest(spark, str(tmp_path / "out"), "metrics", 1 << 30)
+            if got is not None:
+                break
+        assert query.exception() is None and got.first().total == 1
+    finally:
+        query.stop()
+
+
+def test_live_tail(spark, tmp_path):
+    from logloom.streaming import jobs
+
+    spark.range(3).select(F.timestamp_seconds(F.col("id")).alias("received_at"), F.col("id").cast("string").alias("raw_message"), F.lit("T").alias("source")).write.parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema("received_at timestamp, raw_message string, source string").parquet(str(tmp_path / "rows"))
+    query = jobs.live_tail(stream).writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.raw_message for r in spark.table("tail").collect()) == ["0", "1", "2"]
