@@ -43,12 +43,13 @@ def nonempty(x: Column) -> Column:
 
 def columns_split(x: Column) -> Column:
     """Comma-separated columns, trailing empty ones dropped."""
-    return F.split(F.regexp_replace(x, ",+$", ""), ",", -1)
+    return F.split(F.rtrim(x, F.lit(",")), ",", -1)
 
 
 def n_columns(x: Column) -> Column:
     """How many columns a line has, trailing empty ones not counted; 1 without a comma."""
-    return F.when(x.contains(","), F.size(columns_split(x))).otherwise(1)
+    kept = F.rtrim(x, F.lit(","))
+    return F.when(x.contains(","), F.char_length(kept) - F.char_length(F.replace(kept, F.lit(","), F.lit(""))) + 1).otherwise(1)
 
 
 def to_map(keys: Column, values: Column) -> Column:

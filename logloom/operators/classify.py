@@ -36,11 +36,11 @@ def classify(raw: Column) -> Column:
     }
     return (
         F.when(blank(raw), named["empty"])
-        .when(line.rlike(whole(r".*CEF:\s*\d+\|.*")), named["cef"])
-        .when(line.rlike(whole(r".*LEEF:\s*[12]\.\d+\|.*")), named["leef"])
+        .when(line.contains("CEF:") & line.rlike(whole(r".*CEF:\s*\d+\|.*")), named["cef"])
+        .when(line.contains("LEEF:") & line.rlike(whole(r".*LEEF:\s*[12]\.\d+\|.*")), named["leef"])
         .when(json_envelope(line), named["json"])
         .when(line.rlike(whole(r"<\d{1,3}>1\s+\S+\s+\S+.*")), named["rfc5424"])
-        .when(line.rlike(whole(rf"<\d{{1,3}}>{_BSD}")) | line.rlike(whole(r".*%ASA-\d-\d+:.*")), named["rfc3164"])
+        .when(line.rlike(whole(rf"<\d{{1,3}}>{_BSD}")) | (line.contains("%ASA-") & line.rlike(whole(r".*%ASA-\d-\d+:.*"))), named["rfc3164"])
         .when(line.rlike(whole(_BSD)), named["bsd"])
         .when(n_columns(line) >= 5, named["csv"])
         .otherwise(named["unknown"])

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from logloom.plans import more_queries  # noqa: F401  registers more
+from logloom.plans import inventory_queries, more_queries  # noqa: F401  register more
 from logloom.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 from logloom.operators import infer
-from logloom.plans import more_queries  # noqa: F401  registers more
+from logloom.plans import inventory_queries, more_queries  # noqa: F401  register more
 from logloom.plans.queries import QUERIES, normalized
 from logloom.plans.raw_logs import raw_logs
 
