@@ -219,7 +219,8 @@ def padded_length(length: int, window: int = WINDOW) -> int:
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad: int = 0) -> DataFrame:
-    """(sequence_id, ids array<bigint>, tokens): the padded sequences of ``pack``'s pieces, of at most ``window`` ids each."""
+    """(sequence_id, ids array<bigint>, tokens): the padded sequences of ``pack``'s pieces, of at most ``window`` ids each, which is what bounds a
+    group here. Null document ids make no difference; an empty table gives no rows; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

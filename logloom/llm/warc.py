@@ -226,7 +226,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(bundles: DataFrame) -> DataFrame:
-    """All records (``RECORD``) of the bundles in column ``bundle``: seek tables first, then each frame by itself."""
+    """All records (``RECORD``) of the bundles in column ``bundle``: seek tables first, then each frame by itself.
+
+    Bundles that are named repeatedly are read once; other columns are ignored; an empty table gives no rows. Ids and urls that the
+    records lack are null, and revisits have an empty payload.
+    """
     spark = bundles.sparkSession
     frames = bundles.select("bundle").distinct().mapInArrow(_frames_of, "bundle string, start bigint, bytes bigint")
     spread = frames.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -243,7 +247,8 @@ def read_record(row: dict) -> bytes:
 
 def resolved(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits take the payload's size from the response that
-    they refer to; the digest of a response is that of the payload as read."""
+    they refer to; the digest of a response is that of the payload as read. Null ids are kept; repeated records give repeated
+    rows; a revisit whose response isn't among the records gives none; an empty table gives no rows."""
     sized = records.select(
         "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("own_bytes"),
         F.when(F.col("record_type") == "response", base32(F.sha1("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
