@@ -11,27 +11,32 @@ from logloom.llm.queries import packed_pieces
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts have no words, so they go; a row is judged by its own text, so null
+    and repeated ids, and repeated rows, are each judged alike. An empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row stays, that of the smallest id."""
+    """Of each group of near-duplicates one row stays, that of the smallest id; of equal ids the first that was written, rows without an id
+    last. Null, empty and wordless texts are one group. An empty table stays empty."""
     return simhash.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced; n_chars follows."""
+    """Secrets in the texts are replaced; n_chars follows. Null texts stay null, with a null n_chars; null ids and repeated rows stay as they are
+    many. An empty table stays empty."""
     return secrets.redact(docs).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of small sources occur more often, none less than once."""
+    """Documents of small sources occur more often, none less than once. Null sources are one source; null texts have no tokens and occur
+    once. An empty table stays empty."""
     return mixing.mixed_documents(docs)
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents, in windows that hold all sources in proportion."""
+    """Pieces of documents, in windows that hold all sources in proportion. Null texts are their end id alone; null ids are kept; repeated rows
+    are packed as often as they occur. An empty table gives no rows."""
     return packed_pieces(docs)
 
 
