@@ -55,6 +55,7 @@ def drift_alerts(figures: DataFrame, open_alerts: DataFrame | None = None, drop:
     if open_alerts is not None:
         found = found.join(open_alerts.where("status = 'OPEN'").select("parser_name"), "parser_name", "left_anti")
     percent = lambda x: F.format_string("%.1f", x * 100)
+    # The texts of the alerts.
     told = F.when(
         both,
         F.concat(F.lit("Confidence dropped by "), percent(F.col("confidence_drop")), F.lit("% (baseline: "), F.format_string("%.2f", "baseline"), F.lit(", rolling: "), F.format_string("%.2f", "current_confidence"), F.lit(") with degraded success rate ("), percent(F.col("success_rate")), F.lit("%)")),

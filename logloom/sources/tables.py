@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,20 @@ def materialised(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written once, so that all that is derived from it reads the same rows and no part is computed twice."""
     path = f"{shared_dir(df.sparkSession)}/logloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_materialised(spark: SparkSession) -> int:
+    """Removes what ``materialised`` wrote, once the results that read it are stored; the registered queries share such tables within a
+    session, so after the last of them. Returns how many tables."""
+    paths = [_WRITTEN.pop() for _ in range(len(_WRITTEN))]
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

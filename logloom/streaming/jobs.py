@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.operators import correlate, drift, lineage, metrics
+from logloom.operators import correlate, drift, export, lineage, metrics
 from logloom.plans.config import Config
 from logloom.plans.normalize import NATIVE
 from logloom.sources.tables import materialised
@@ -24,13 +24,13 @@ EVERY = {"correlation": 120, "drift": 300, "seal": 3600, "metrics": 1}
 
 def stored(spark: SparkSession, out: str, name: str) -> DataFrame | None:
     """A table of the gateway or of a job, all batches or runs; None where nothing is written yet."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}")
-    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return spark.read.parquet(f"{out}/{name}") if files.exists(where) else None
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{name}/*=*/part-*")
+    found = files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)  # a run that is being written has none yet
+    return spark.read.parquet(f"{out}/{name}") if found is not None and len(found) else None
 
 
 def latest(spark: SparkSession, out: str, name: str, before: int) -> DataFrame | None:
-    """What the last run before this one wrote."""
+    """What the last run before this one wrote, of those that wrote rows; None where none did."""
     rows = stored(spark, out, name)
     run = rows.where(F.col("run") < before).agg(F.max("run")).first()[0] if rows is not None else None
     return None if run is None else rows.where(F.col("run") == run).drop("run")
@@ -84,6 +84,13 @@ def measure(spark: SparkSession, out: str, run: int, as_of: datetime, config: Co
         _write(metrics.totals(rows).crossJoin(rate).withColumn("as_of", F.lit(as_of)), out, "metrics", run)  # one row each
 
 
+def export_files(spark: SparkSession, out: str, path: str, kind: str, config: Config = Config()) -> None:
+    """All stored events in a wire format, to text files; events without vendor or product take those of the settings."""
+    rows = stored(spark, out, "events")
+    if rows is not None:
+        export.write_files(rows, path, kind, config.export_vendor, config.export_product)
+
+
 JOBS: dict[str, Callable] = {"correlation": correlation, "drift": drift_check, "seal": seal, "metrics": measure}
 
 

@@ -92,7 +92,9 @@ def test_jobs_over_the_tables(spark, tmp_path):
     # Settings act: a window of five minutes sees the second batch only; no drift where any rate will do.
     jobs.correlation(spark, str(tmp_path / "out"), 0, later, Config(correlation_minutes=5))
     assert [r.correlation_key for r in spark.read.parquet(f"{out}/incidents/run=0").collect()] == ["10.9.9.9"]
-    assert jobs.latest(spark, out, "drift_alerts", 9).count() == 0
+    assert jobs.latest(spark, out, "drift_alerts", 9) is None and jobs.stored(spark, out, "drift_alerts").count() == 0
+    jobs.export_files(spark, out, str(tmp_path / "wire"), "leef", Config(export_vendor="Own"))
+    assert spark.read.text(str(tmp_path / "wire")).count() == 5
 
 
 def test_ticks(spark, tmp_path):
