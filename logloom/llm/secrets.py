@@ -101,6 +101,11 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(may, _named(sizes, placed)).otherwise(F.array().cast(SPANS)).cast(SPANS)
 
 
+def _once(spans: Column) -> Column:
+    """The spans sorted, each once. Equal ones stand side by side once sorted; ``array_distinct`` would compare structs pair by pair."""
+    return _named(F.array_sort(spans), lambda v: F.filter(v, lambda x, i: (i == 0) | (x != F.get(v, i - 1))))
+
+
 def _ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...], blobs: DataFrame) -> DataFrame:
     """One row for each of ``blobs`` that the ledger knows: the current rules that have seen it, and their spans, sorted."""
     versions = F.array(*[F.lit(r.version) for r in rules])
@@ -111,13 +116,13 @@ def _ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...], blobs: Data
     )
     current = F.filter("spans", lambda s: F.array_contains(F.col("rules"), s["rule"]))
     spans = F.transform(current, lambda s: F.struct(s["start"].alias("start"), ranks[s["rule"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return gathered.select("blob", "rules", F.array_sort(F.array_distinct(spans)).cast(SPANS).alias("spans"))
+    return gathered.select("blob", "rules", _once(spans).cast(SPANS).alias("spans"))
 
 
 def compact(spark: SparkSession, ledger: str, target: str) -> None:
     """Writes the ledger to a new folder with one row for each blob, spans of all rule versions kept; scans may go on from there."""
     rows = spark.read.parquet(ledger)
-    once = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    once = rows.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"), _once(F.flatten(F.collect_list("spans"))).alias("spans"))
     once.write.parquet(target)
 
 
@@ -186,7 +191,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the secrets in the texts replaced. Rows are matched by id and text, so equal rows stay as many."""
-    found = scan(docs, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["path", "blob"])
+    found = written(written(scan(docs, id_col, text_col).where(F.size("spans") > 0), "found").dropDuplicates(["path", "blob"]), "redactions")
     same = F.col("__path").eqNullSafe(F.col(id_col)) & (F.col("__blob") == F.sha2(F.col(text_col), 256))
     spans = found.select(F.col("path").alias("__path"), F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     joined = docs.join(spans.hint("shuffle_hash"), same, "left")

@@ -68,6 +68,14 @@ def test_secrets(spark, docs):
     assert "SortMergeJoin(skew=true)" in found
 
 
+def test_redactions(spark, docs):
+    """The same id and text nine times in ten."""
+    hot = written(docs.withColumn("doc_id", F.when(F.col("doc_id") % 10 == 0, F.col("doc_id"))), "hot")
+    with joins(spark) as found:
+        assert secrets.redact(hot).where("text like 'all%[SECRET]'").count() == 5400
+    assert {"ShuffledHashJoin(skew=true)", "SortMergeJoin(skew=true)"} <= {*found}
+
+
 def test_archives(spark, docs):
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
     with joins(spark) as found:

@@ -2,6 +2,7 @@
 
 import hashlib
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -54,6 +55,18 @@ def test_long_texts(spark):
     assert {r.doc_id: r.n_words for r in quality.assess(docs, labels).collect()} == {1: 400_000, 2: 1_800_000, 3: 1}
 
 
+def test_time_of_many_spans(spark):
+    """Twice the secrets of one text take at most two and a half times as long."""
+    def took(n):
+        docs = spark.createDataFrame([(1, "token=abcdef123 and words " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        assert len(secrets.scan(docs).first().spans) == n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert min(took(80_000) for _ in range(2)) <= 2.5 * min(took(40_000) for _ in range(2))
+
+
 def test_archives_with_long_pages_and_clashing_columns(spark, tmp_path):
     rows = [(1, "u", "x" * 10_000_000, "a", 1), (2, "u", "x" * 10_000_000, "b", 2), (3, None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, first long")
