@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, embeddings, licenses, mixing, packing, quality, secrets, sharding, simhash, warc
+from logloom.llm import chat, decontaminate, embeddings, licenses, mixing, packing, quality, secrets, sharding, simhash, warc
 from logloom.llm._spark import table
 
 
@@ -79,6 +79,10 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,6 +100,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_packing": op9_packing,
     "op10_secret_scans": op10_secret_scans,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "pipeline": pipeline,
 }
-ORACLE_SQL = {"op1_license_scans": licenses.oracle_sql(), "op8_warc": warc.oracle_sql(), "op10_secret_scans": secrets.oracle_sql()}
+ORACLE_SQL = {"op1_license_scans": licenses.oracle_sql(), "op8_warc": warc.oracle_sql(), "op10_secret_scans": secrets.oracle_sql(), "op11_benchmark_decontamination": decontaminate.oracle_sql()}
