@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontaminate, embeddings, licenses, mixing, packing, quality, secrets, sharding, simhash, trie, warc
+from logloom.llm import chat, decontaminate, embeddings, licenses, mixing, packing, quality, secrets, sharding, simhash, spelling, trie, warc
 from logloom.llm._spark import table
 
 
@@ -87,6 +87,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(*trie.grafted(table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 ORACLE_SQL = {"op1_license_scans": licenses.oracle_sql(), "op8_warc": warc.oracle_sql(), "op10_secret_scans": secrets.oracle_sql(), "op11_benchmark_decontamination": decontaminate.oracle_sql()}
