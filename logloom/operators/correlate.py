@@ -86,11 +86,16 @@ def incidents(found: DataFrame) -> DataFrame:
         F.array_distinct(F.flatten(F.collect_set("tactics"))).alias("tactics"), F.min("first").alias("first_seen_at"), F.max("last").alias("last_seen_at"),
         F.min(F.struct("first", "event_id")).alias("root"), F.max("score").alias("score"), F.count("*").alias("event_count"), F.sum("n").alias("detection_count"),
     )
+    return told(per_entity.where(F.size("tactics") >= 2))
+
+
+def told(per_entity: DataFrame, *more: str) -> DataFrame:
+    """An entity's sums as an incident."""
     n = F.size("tactics")
     key = F.upper(F.substring(F.sha2(F.concat_ws("|", "key_type", "key"), 256), 1, 8))
-    return per_entity.where(n >= 2).select(
+    return per_entity.select(
         F.concat(F.lit("INC-"), key).alias("incident_key"), "key_type", F.col("key").alias("correlation_key"), F.col("root.event_id").alias("root_event_id"), tactic_chain(F.col("tactics")).alias("tactic_chain"),
-        n.alias("distinct_tactic_count"), "event_count", "detection_count", incident_severity(F.col("score"), n).alias("severity"), F.lit("OPEN").alias("status"), "first_seen_at", "last_seen_at",
+        n.alias("distinct_tactic_count"), "event_count", "detection_count", incident_severity(F.col("score"), n).alias("severity"), F.lit("OPEN").alias("status"), "first_seen_at", "last_seen_at", *more,
     )
 
 
