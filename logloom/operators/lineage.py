@@ -6,6 +6,9 @@ are numbered in (received_at, ingest_seq) order. Levels are built ten at a time,
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +99,80 @@ def roots(leaves: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return top.select("batch_number", "event_count", "merkle_root")
 
 
+def _digest(a: str, b: str) -> str:
+    return hashlib.sha256((a + b).encode()).hexdigest()
+
+
+def root_of(n: int, peaks: dict[int, str]) -> str:
+    """The root of a tree of n leaves from its peaks, the roots of its whole subtrees by level: one for each bit of n."""
+    carried, level = None, 0
+    while n:
+        whole = n >> level
+        if whole + (carried is not None) == 1:
+            return carried or peaks[level]
+        if whole & 1:  # the last whole node, with the unfinished one or, without one, with itself
+            carried = _digest(peaks[level], carried or peaks[level])
+        elif carried is not None:
+            carried = _digest(carried, carried)
+        level += 1
+    return EMPTY_ROOT
+
+
+_PEAKS = pa.schema([("tree", pa.int64()), ("level", pa.int32()), ("index", pa.int64()), ("hash", pa.string())])
+
+
+def _fold(level: int):
+    """A group's old peaks and new nodes to its node ``STEP`` levels up, once it is whole (with an index), or to its peaks (without)."""
+
+    def run(key, rows):
+        tree, group = (k.as_py() for k in key)
+        nodes = [(r["index"] is not None, r["index"] or 0, -r["level"], r["hash"]) for r in rows.to_pylist()]
+        peaks: dict[int, str] = {}
+        for new, _, below, node in sorted(nodes):
+            at = -below
+            while new and at in peaks:
+                node = _digest(peaks.pop(at), node)
+                at += 1
+            peaks[at] = node
+        whole = peaks.pop(level + STEP, None)
+        out = [(tree, at, None, node) for at, node in peaks.items()] + ([(tree, level + STEP, group, whole)] if whole else [])
+        return pa.Table.from_pylist([dict(zip(_PEAKS.names, r, strict=True)) for r in out], _PEAKS)
+
+    return run
+
+
+def frontier(leaves: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The frontier (tree, n, level, hash) of append-only trees: how many leaves each has, and its peaks, at most one for each level.
+
+    ``leaves`` (tree, place, hash) come after those that ``before``, an earlier frontier, stands for; places count from 0 in each tree. Only new
+    leaves and old peaks are read. Levels are built ``STEP`` at a time, within groups of 1,024 neighbours, side by side. Trees without new
+    leaves stay. The roots (``frontier_roots``) are those of ``tree_nodes``, however the leaves were split into appends.
+    """
+    old = before if before is not None else leaves.sparkSession.createDataFrame([], "tree long, n long, level int, hash string")
+    counts = old.groupBy("tree").agg(F.max("n").alias("n0"))
+    added = leaves.groupBy("tree").agg(F.count("*").alias("m"))
+    sizes = materialised(added.join(counts, "tree", "full").select("tree", F.coalesce("n0", F.lit(0)).alias("n0"), (F.coalesce("n0", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), "sizes")
+    nodes = leaves.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "tree").select("tree", F.lit(0).alias("level"), (F.col("n0") + F.col("place")).alias("index"), "hash")
+    most, level, peaks = sizes.agg(F.max("n")).first()[0] or 0, 0, None
+    while most >> level:
+        # Old peaks of these levels belong to the group that was begun.
+        begun = old.where((F.col("level") >= level) & (F.col("level") < level + STEP)).select("tree", "level", F.lit(None).cast("long").alias("index"), "hash", F.shiftright("n", level + STEP).alias("group"))
+        grouped = nodes.withColumn("group", F.shiftright("index", STEP)).unionByName(begun).groupBy("tree", "group")
+        found = materialised(grouped.applyInArrow(_fold(level), "tree long, level int, index long, hash string"), "peaks")
+        kept, level = found.where("index is null").select("tree", "level", "hash"), level + STEP
+        peaks, nodes = kept if peaks is None else peaks.unionByName(kept), found.where("index is not null")
+    if peaks is None:
+        return old
+    return peaks.join(sizes.select("tree", "n"), "tree").select("tree", "n", "level", "hash")
+
+
+def frontier_roots(peaks: DataFrame) -> DataFrame:
+    """(tree, n, merkle_root) of a frontier."""
+    root = F.udf(lambda n, found: root_of(n, {x["level"]: x["hash"] for x in found}), "string")
+    gathered = peaks.groupBy("tree").agg(F.max("n").alias("n"), F.collect_list(F.struct("level", "hash")).alias("peaks"))  # one row a level
+    return gathered.select("tree", "n", root("n", "peaks").alias("merkle_root"))
+
+
 def empty_root() -> Column:
     return F.sha2(F.lit(""), 256)
 
