@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,19 +12,39 @@ from logloom.operators import sigma
 from logloom.operators.parsers.base import Parser
 from logloom.plans.config import Config
 from logloom.plans.normalize import events, normalize, quarantine
+from logloom.sources.tables import exists, put
+from logloom.streaming import live as live_state
 
 
 def write_batch(rows: DataFrame, batch: int, out: str) -> None:
-    """One micro-batch to the tables, each under its batch number: a batch that is run again replaces what it wrote.
+    """One micro-batch to the tables, each under its batch number.
 
-    The normalized rows are written once, and the others read them, so that all tables tell of the same rows."""
+    The normalized rows are written once, and the others read them, so that all tables tell of the same rows. A batch that is run again finds
+    its normalized rows and leaves them as they are, so that streams that read this table see each row once; it writes the other tables anew.
+    """
     spark = rows.sparkSession
     path = f"{out}/normalized/batch={batch}"
-    rows.write.mode("overwrite").parquet(path)
+    if not exists(spark, path):
+        put(rows, path)
     kept = spark.read.schema(rows.schema).parquet(path)
-    events(kept).write.mode("overwrite").parquet(f"{out}/events/batch={batch}")
-    quarantine(kept).write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch}")
-    sigma.alerts(events(kept)).write.mode("overwrite").parquet(f"{out}/alerts/batch={batch}")
+    put(events(kept), f"{out}/events/batch={batch}")
+    put(quarantine(kept), f"{out}/quarantine/batch={batch}")
+    put(sigma.alerts(events(kept)), f"{out}/alerts/batch={batch}")
+
+
+def live(spark: SparkSession, out: str, checkpoint: str, minutes: int = 30, available_now: bool = False, every: str = "10 seconds", event_time: bool = False) -> list[StreamingQuery]:
+    """Starts what goes on with the normalized table as its batches come: running metrics to ``live_metrics`` and the incidents of the last
+    ``minutes`` to ``live_incidents``, the figures and incidents that each micro-batch has changed. By the clock, incidents run until they are stopped."""
+    schema = spark.read.parquet(f"{out}/normalized").drop("batch").schema
+    rows = spark.readStream.schema(schema).parquet(f"{out}/normalized/batch=*")
+    waited = F.unix_millis(F.current_timestamp()) - F.unix_millis("received_at")
+    found = {"live_metrics": live_state.running_metrics(rows.withColumn("latency", waited.cast("double")), "latency"), "live_incidents": live_state.running_incidents(live_state.line_detections(rows), minutes, event_time)}
+
+    def start(name: str, frame: DataFrame) -> StreamingQuery:
+        writer = frame.writeStream.foreachBatch(lambda part, n: put(part, f"{out}/{name}/batch={n}")).outputMode("update").option("checkpointLocation", f"{checkpoint}/{name}")
+        return (writer.trigger(availableNow=True) if available_now and (event_time or name == "live_metrics") else writer.trigger(processingTime=every)).start()
+
+    return [start(*x) for x in found.items()]
 
 
 def run(
