@@ -18,7 +18,7 @@ from logloom.llm._scan import running_totals
 from logloom.llm._spark import written
 
 BLOCK = 1 << 20  # tokens of a block of the mixture
-SOURCES = 100_000  # sources whose shares the driver handles; more are an error, not a cut
+SOURCES = 100_000  # sources whose shares the driver handles; those of more stay in a table, with the same weights and budgets
 
 
 @dataclass(frozen=True)
@@ -85,6 +85,50 @@ def plan(tokens: dict, target_entropy: float | None = None, repeat_limit: float
     return Mixture(sources, counts, exponent, weights, budgets)
 
 
+def table_exponent(sums: DataFrame, target_entropy: float | None = None, repeat_limit: float | None = None, steps: int = 60) -> float:
+    """``bisect_exponent`` of any number of sources: ``sums`` (tokens) stays a table. A pass over it sums up for 15 exponents at once, so 15 passes do what
+    60 steps of bisection do; repeats follow from the largest and the smallest source alone."""
+    most, least = sums.where("tokens > 0").agg(F.max("tokens"), F.min("tokens")).first()
+    if most is None:
+        return 0.0 if target_entropy is None else 1.0
+
+    def entropies(exponents: list[float]) -> list[float]:
+        t, parts = F.col("tokens").cast("double"), []
+        for x in exponents:
+            parts += [F.sum(F.pow(t, F.lit(x))), F.sum(F.pow(t, F.lit(x)) * F.ln(t))]
+        row = sums.where("tokens > 0").agg(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).first()
+        return [log(row[2 * i]) - x * row[2 * i + 1] / row[2 * i] for i, x in enumerate(exponents)]
+
+    repeats = lambda x: (most / least) ** (1 - x)
+    found = 0.0 if target_entropy is None else 1.0
+    if target_entropy is not None and entropies([1.0])[0] < target_entropy:
+        low, high = 0.0, 1.0
+        for _ in range(steps // 4):
+            grid = [low + (high - low) * i / 16 for i in range(1, 16)]
+            good = [x for x, h in zip(grid, entropies(grid), strict=True) if h >= target_entropy]
+            low, high = max(good, default=low), min((x for x in grid if x not in good), default=high)
+        found = low
+    if repeat_limit is not None and repeats(found) > repeat_limit:
+        low, high = 0.0, 1.0
+        for _ in range(steps):
+            mid = (low + high) / 2
+            low, high = (mid, high) if repeats(mid) > repeat_limit else (low, mid)
+        found = high
+    return found
+
+
+def table_plan(sums: DataFrame, target_entropy: float | None = None, repeat_limit: float | None = 2.0, budget: int | None = None) -> tuple[DataFrame, float]:
+    """``plan`` of any number of sources: (name, held, weight, budget, whole) as a table, and the exponent."""
+    exponent = table_exponent(sums, target_entropy, repeat_limit)
+    powered = sums.withColumn("power", F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(exponent))).otherwise(0.0))
+    whole, scale = powered.agg(F.sum("power"), F.max(F.when(F.col("tokens") > 0, F.col("tokens") / F.col("power")))).first()
+    weight = F.col("power") / whole if whole else F.lit(0.0)
+    rows = powered.select(F.col("source").alias("name"), F.col("tokens").alias("held"), weight.alias("weight"))
+    given = F.bround(F.col("weight") * (budget if budget is not None else (scale or 0.0) * (whole or 0.0))).cast("long")
+    rows = rows.withColumn("budget", given if budget is not None else F.greatest("held", given))
+    return written(rows.withColumn("whole", F.when(F.col("held") > 0, F.expr("budget div held")).otherwise(1)), "mixture"), exponent
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
@@ -99,13 +143,15 @@ def mix(
     budget: int | None = None,
     block: int = BLOCK,
     seed: int = 0,
+    sources: int = SOURCES,
 ) -> DataFrame:
     """One row for each time that a document occurs: doc_id, source, text_hash, tokens, epoch, start, block, order_key, exponent, weight.
 
     ``tokens`` counts words. ``start`` is the tokens of the same source that come before; an occurrence belongs to
     the mixture if its start lies within its source's budget. Documents without tokens occur once. ``block`` is the block of the
     mixture that holds it, ``order_key`` its place there (a hash). Without ``budget``, every document occurs at least once and
-    none is left out; a given budget may sample large sources.
+    none is left out; a given budget may sample large sources. Shares of up to ``sources`` sources are worked out on the driver,
+    those of more in a table, with the same result.
 
     Null sources are one source, null texts have no tokens; null ids and repeated rows are mixed as rows of their own.
     An empty table gives no rows. Other columns are ignored.
@@ -116,14 +162,17 @@ def mix(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("text_hash"), word_count(text).alias("tokens")
     )
     rows = written(rows, "tokens")
-    sums = rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(SOURCES + 1).collect()
-    if len(sums) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources: group them first")
-    mixture = plan({r.source: r.tokens for r in sums}, target_entropy, repeat_limit, budget)
-    planned = [
-        (s, t, w, b, b // t if t else 1) for s, t, w, b in zip(mixture.sources, mixture.tokens, mixture.weights, mixture.budgets, strict=True)
-    ]
-    by_source = F.broadcast(spark.createDataFrame(planned, "name string, held long, weight double, budget long, whole long"))
+    sums = written(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sources")
+    few = sums.limit(sources + 1).collect()
+    if len(few) > sources:
+        by_source, exponent = table_plan(sums, target_entropy, repeat_limit, budget)
+    else:
+        mixture = plan({r.source: r.tokens for r in few}, target_entropy, repeat_limit, budget)
+        planned = [
+            (s, t, w, b, b // t if t else 1) for s, t, w, b in zip(mixture.sources, mixture.tokens, mixture.weights, mixture.budgets, strict=True)
+        ]
+        by_source = F.broadcast(spark.createDataFrame(planned, "name string, held long, weight double, budget long, whole long"))
+        exponent = mixture.exponent
     known = rows.join(by_source, F.col("source").eqNullSafe(F.col("name")))
     # Whole epochs, and one more of which the budget takes a part. A document without tokens occurs in the first only.
     last = F.when(F.col("tokens") == 0, 0).when((F.col("held") > 0) & (F.col("budget") > F.col("whole") * F.col("held")), F.col("whole")).otherwise(F.col("whole") - 1)
@@ -136,7 +185,7 @@ def mix(
     per_block = F.greatest(F.lit(1.0), F.col("weight") * block)
     return taken.select(
         "doc_id", "source", "text_hash", "tokens", "epoch", "start", F.floor(F.col("start") / per_block).cast("long").alias("block"), "order_key",
-        F.lit(mixture.exponent).alias("exponent"), "weight",
+        F.lit(exponent).alias("exponent"), "weight",
     )
 
 

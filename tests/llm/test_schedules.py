@@ -1,6 +1,7 @@
 """Sharding and mixing recomputed row by row, without Spark."""
 
 import heapq
+import random
 import struct
 from collections import defaultdict
 
@@ -94,3 +95,22 @@ def test_blocks_by_the_rule(docs, given):
             at += n
     got = [(r.doc_id, r.source, r.tokens, r.epoch, r.start, r.block, r.order_key) for r in mixing.mix(docs, **given).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_mixture_of_any_number_of_sources(spark):
+    """In a table, weights and budgets are those of the driver; occurrences are the same rows."""
+    rng = random.Random(9)
+    tokens = {None if i == 7 else f"s{i}": 0 if i % 11 == 0 else rng.randrange(1, 10 ** rng.choice([1, 3, 5])) for i in range(400)}
+    sums = spark.createDataFrame(list(tokens.items()), "source string, tokens long")
+    for given in ({"repeat_limit": 2.0}, {"repeat_limit": None, "target_entropy": 5.5}, {"repeat_limit": 3.0, "target_entropy": 5.5}, {"repeat_limit": 2.0, "budget": 1000}, {"repeat_limit": None}):
+        want = mixing.plan(tokens, **given)
+        rows, exponent = mixing.table_plan(sums, **given)
+        assert abs(exponent - want.exponent) < 1e-9
+        got = {r.name: r for r in rows.collect()}
+        for s, w, b in zip(want.sources, want.weights, want.budgets, strict=True):
+            assert abs(got[s].weight - w) <= 1e-9 and abs(got[s].budget - b) <= 1 + 1e-8 * b
+    docs = spark.createDataFrame([(i, "w " * rng.randrange(0, 30), rng.choice([None, "a", "b", f"c{i}"])) for i in range(200)], "doc_id long, text string, source string")
+    key = lambda r: (r.doc_id, r.epoch, r.start, r.block, r.order_key)
+    assert sorted(map(key, mixing.mix(docs).collect())) == sorted(map(key, mixing.mix(docs, sources=3).collect()))
+    empty = docs.limit(0)
+    assert mixing.mix(empty, sources=-1).count() == 0
