@@ -1,6 +1,7 @@
 """The order of packing against a deficit round-robin that runs round by round, and what windows hold."""
 
 import random
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -50,6 +51,9 @@ def test_closed_form_is_the_round_robin():
         rounds = served_by_rounds(tokens, weights, window * stretch, burst)
         plan = packing.Plan(tokens, weights, window, burst, stretch)
         assert [[*plan.served(k)] for k in range(len(rounds))] == rounds
+        packing.VECTOR = 0
+        assert [[*plan.served(k)] for k in range(len(rounds))] == rounds
+        packing.VECTOR = 64
         order = [(i, x) for a, b in zip(rounds, rounds[1:]) for i in range(len(tokens)) for x in range(a[i], b[i])]
         place = {}
         for i, t in enumerate(tokens):
@@ -143,3 +147,21 @@ def test_very_long_text_and_clashing_columns(spark):
     ids = np.concatenate([np.frombuffer(p.ids, "<u4") for p in sorted((p for p in pieces if p.doc_id == 1), key=lambda p: p.start)])
     assert ids.tolist() == [*Tokenizer.from_file(WORDS).encode(rows[0][1], add_special_tokens=False).ids, packing.END]
     assert Counter(p.doc_id for p in pieces if p.doc_id != 1) == {2: 2, None: sum(p.doc_id is None for p in pieces)}
+
+
+def test_many_queues(spark, monkeypatch):
+    """Cuts sorted by round give the pieces that whole documents do, and a core places over half a million tokens a second from 5,000 queues."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "word " * rng.randrange(1, 400), f"s{rng.randrange(40)}") for i in range(400)], "doc_id long, text string, source string")
+    key = lambda r: (r.doc_id, r.start, r.length, r.sequence_id, r.offset, bytes(r.ids), r.doc_tokens, r.padded_length)
+    whole = sorted(map(key, packing.pack(docs, WORDS).collect()))
+    monkeypatch.setattr(packing, "MANY", 1)
+    assert sorted(map(key, packing.pack(docs, WORDS).collect())) == whole
+    tokens = [rng.randrange(1000, 3000) for _ in range(5000)]
+    plan = packing.Plan(tokens, tokens, packing.WINDOW, packing.BURST)
+    cuts = sorted((about, i, at, n) for i, t in enumerate(tokens) for about, at, n in plan.cuts(i, 0, t))
+    assert sum(n for *_, n in cuts) == sum(tokens)
+    began, places = time.process_time(), 0
+    for about, i, at, n in cuts[: len(cuts) // 4]:
+        places += sum(length for _, length, _ in plan.pieces(i, at, n, about))
+    assert places / (time.process_time() - began) > 500_000
