@@ -112,10 +112,14 @@ STEPS = 10_000  # detections told in one part of a narrative
 def narratives(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """(incident_key, part, parts, member_event_ids, narrative) from members. A narrative tells all of an incident's members, in order;
     it comes in parts of ``steps`` of them, so that no entity's history is gathered in one place. The parts of an incident, put
-    together in order, are its narrative; most have one part."""
+    together in order, are its narrative; most have one part. An event's id is listed once, in the part that tells of it first, so the
+    parts' ids together are the incident's distinct events."""
     order = ["at", "event_id", "title", "technique_id", "tactic"]
     placed = numbered(rows.select("incident_key", "key", *order), ["incident_key"], order, "place").withColumn("part", F.floor(F.col("place") / steps))
-    told = placed.groupBy("incident_key", "key", "part").agg(F.array_sort(F.collect_list(F.struct("place", *order))).alias("steps"))
+    placed = materialised(placed, "placed")
+    first = materialised(placed.groupBy(F.col("incident_key").alias("i"), F.col("event_id").alias("e")).agg(F.min("place").alias("first")), "first-places")
+    marked = placed.join(first, (F.col("incident_key") == F.col("i")) & F.col("event_id").eqNullSafe(F.col("e"))).withColumn("new", F.col("place") == F.col("first"))
+    told = marked.groupBy("incident_key", "key", "part").agg(F.array_sort(F.collect_list(F.struct("place", *order, "new"))).alias("steps"))
     last = F.max("part").over(Window.partitionBy("incident_key"))  # over parts, not members
     told = told.withColumn("parts", last + 1)
     filled = lambda x, default: F.when(blank(x), F.lit(default)).otherwise(x)
@@ -126,7 +130,7 @@ def narratives(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     begin = F.when(F.col("part") == 0, F.concat(F.col("key"), F.lit(" triggered "))).otherwise(", followed by ")
     end = F.when(F.col("part") == F.col("parts") - 1, F.lit(DISCLAIMER)).otherwise("")
     text = F.concat(begin, F.array_join(F.transform("steps", step), ", followed by "), end)
-    return told.select("incident_key", "part", "parts", F.array_distinct(F.transform("steps", lambda s: s["event_id"])).alias("member_event_ids"), text.alias("narrative"))
+    return told.select("incident_key", "part", "parts", F.transform(F.filter("steps", lambda s: s["new"]), lambda s: s["event_id"]).alias("member_event_ids"), text.alias("narrative"))
 
 
 def merge(known: DataFrame, new: DataFrame) -> DataFrame:

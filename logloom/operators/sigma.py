@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import importlib
+import json
 import warnings
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 from operator import or_
 from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.sources.tables import current, upsert, version
+
 MODIFIERS = ("contains", "startswith", "endswith", "re")
 
 
@@ -63,9 +67,10 @@ def parse_rule(spec: dict) -> SigmaRule:
 
 
 def load_rules(path: str) -> list[SigmaRule]:
-    """Rules from the .yml files of a folder that the driver sees. Needs PyYAML."""
-    yaml = importlib.import_module("yaml")
-    return [parse_rule(yaml.safe_load(p.read_text())) for p in sorted(Path(path).glob("*.yml"))]
+    """Rules from the .json and .yml files of a folder that the driver sees, by name. The latter need PyYAML."""
+    files = sorted(p for p in Path(path).iterdir() if p.suffix in (".json", ".yml"))
+    read = {".json": json.loads} | ({".yml": importlib.import_module("yaml").safe_load} if any(p.suffix == ".yml" for p in files) else {})
+    return [parse_rule(read[p.suffix](p.read_text())) for p in files]
 
 
 _BLOCKED = ["blocked", "denied", "drop", "failed"]
@@ -219,20 +224,72 @@ def alerts(normalized: DataFrame) -> DataFrame:
     )
 
 
+def rule_text(rule: SigmaRule) -> str:
+    return json.dumps(asdict(rule), sort_keys=True)
+
+
+def rule_from_text(text: str) -> SigmaRule:
+    given = json.loads(text)
+    blocks = {k: tuple(Criterion(c["field"], c["modifier"], tuple(c["values"])) for c in v) for k, v in given.pop("blocks").items()}
+    return SigmaRule(**given, blocks=blocks)
+
+
 class RuleStore:
-    """Rules by id: upsert, toggle, delete. Plans that are built afterwards see the change."""
+    """Rules by id: upsert, toggle, delete. Plans that are built afterwards see the change; ``save`` keeps it in a table, for engines that run
+    and for those to come."""
 
     def __init__(self, rules: tuple[SigmaRule, ...] = RULES):
         self._rules = {r.id: r for r in rules}
+        self._versions: dict[str, int] = {}
+        self._changed: set[str] = set(self._rules)
 
     def upsert(self, rule: SigmaRule) -> None:
         self._rules[rule.id] = rule
+        self._changed.add(rule.id)
 
     def toggle(self, rule_id: str, enabled: bool) -> None:
-        self._rules[rule_id] = replace(self._rules[rule_id], enabled=enabled)
+        self.upsert(replace(self._rules[rule_id], enabled=enabled))
 
     def delete(self, rule_id: str) -> None:
-        self._rules.pop(rule_id, None)
+        if self._rules.pop(rule_id, None) is not None:
+            self._changed.add(rule_id)
 
     def rules(self) -> list[SigmaRule]:
-        return sorted(self._rules.values(), key=lambda r: r.id)
+        return [r for _, r in sorted(self._rules.items())]
+
+    def save(self, spark: SparkSession, path: str) -> int:
+        """Writes a new version (rule_id, version, deleted, body) of each rule that has changed; returns how many. Earlier versions stay."""
+        rows = []
+        for i in sorted(self._changed):
+            self._versions[i] = self._versions.get(i, 0) + 1
+            rows.append((i, self._versions[i], i not in self._rules, rule_text(self._rules[i]) if i in self._rules else None))
+        self._changed.clear()
+        if rows:
+            upsert(spark.createDataFrame(rows, "rule_id string, version int, deleted boolean, body string"), path, ["rule_id", "version"], buckets=1)
+        return len(rows)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> RuleStore:
+        """The latest versions of the rules in a table; the bundled rules where there is no table yet."""
+        rows, found = current(spark, path), cls()
+        if rows is not None:
+            found._rules, found._changed = {}, set()
+            latest = rows.groupBy("rule_id").agg(F.max_by(F.struct("version", "deleted", "body"), "version").alias("x"))
+            for r in latest.select("rule_id", "x.*").collect():  # as many rows as rules, which the driver compiles
+                found._versions[r.rule_id] = r.version
+                if not r.deleted:
+                    found._rules[r.rule_id] = rule_from_text(r.body)
+        return found
+
+
+def stored_rules(spark: SparkSession, path: str) -> Callable[[], list[SigmaRule]]:
+    """Asks for the rules in a table; they are read again only when the table has a new version."""
+    seen: dict[str, object] = {"version": None, "rules": list(RULES)}
+
+    def ask() -> list[SigmaRule]:
+        now = version(spark, path)
+        if now != seen["version"]:
+            seen.update(version=now, rules=RuleStore.load(spark, path).rules())
+        return seen["rules"]
+
+    return ask

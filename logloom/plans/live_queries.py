@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import correlate, drift, enrich, export, lineage
+from logloom.operators import correlate, drift, enrich, export, lineage, sigma
 from logloom.plans.normalize import quarantine
 from logloom.plans.oracle import DETECTIONS, EXPECTED, _WINDOW, detected, expected, merkle
 from logloom.plans.queries import ORACLE_SQL, _batches, _detections, normalized, query, seq, stored
@@ -152,3 +152,17 @@ def src8_loaded_techniques(spark, sf_dir):
     ])
     found = enrich.technique(F.col("destination.port"), F.lower("event.action"), F.lower("raw_message"), enrich.load_techniques(text))
     return stored(spark, sf_dir).select(seq(), found.alias("t")).select("seq", "t.technique_id", "t.tactic")
+
+
+@query(expected("SELECT rule_id, count(*) AS n FROM matches WHERE rule_id <> 'SIGMA-T1552-FTP-002' GROUP BY rule_id UNION ALL SELECT 'MINE', count(*) FROM n WHERE dpt = 8080 HAVING count(*) > 0"))
+def src7_stored_rules(spark, sf_dir):
+    """Rules from a table that one store has written and another changed, over all stored events."""
+    path = _place(spark, "rules")
+    sigma.RuleStore().save(spark, path)
+    store = sigma.RuleStore.load(spark, path)
+    store.delete("SIGMA-T1552-FTP-002")
+    store.upsert(sigma.parse_rule({"id": "MINE", "title": "t", "detection": {"selection": {"dst_port": 8080}}}))
+    store.save(spark, path)
+    rules = sigma.stored_rules(spark, path)()
+    rows = stored(spark, sf_dir).withColumns(sigma.fields(rules)).withColumns(sigma.lowered(rules))
+    return rows.select(F.explode(sigma.evaluate(rules)).alias("m")).groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))

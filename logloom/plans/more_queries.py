@@ -97,27 +97,6 @@ def sig5_conditions(spark, sf_dir):
     return rows.select(F.explode(sigma.evaluate(rules)).alias("m")).groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
 
 
-@query(
-    expected("""SELECT position, type, path, confidence, count(*) AS n FROM (SELECT unnest(CASE kind WHEN 6 THEN [
-      {'position': 0, 'type': 'KEY_VALUE', 'path': 'extensions.device', 'confidence': 0.85::DOUBLE}, {'position': 1, 'type': 'IPV4', 'path': 'source.ip', 'confidence': 0.99::DOUBLE}, {'position': 2, 'type': 'IPV4', 'path': 'destination.ip', 'confidence': 0.99::DOUBLE},
-      {'position': 3, 'type': 'PORT', 'path': 'source.port', 'confidence': 0.98::DOUBLE}, {'position': 4, 'type': 'PORT', 'path': 'destination.port', 'confidence': 0.98::DOUBLE}, {'position': 5, 'type': 'PROTOCOL', 'path': 'network.protocol', 'confidence': 0.98::DOUBLE},
-      {'position': 6, 'type': 'ACTION', 'path': 'event.action', 'confidence': 0.96::DOUBLE}, {'position': 7, 'type': 'USER', 'path': 'source.user', 'confidence': 0.95::DOUBLE}]
-      ELSE [{'position': 0, 'type': 'STRING', 'path': 'extensions.token_0', 'confidence': 0.6::DOUBLE}, {'position': 1, 'type': 'STRING', 'path': 'extensions.token_1', 'confidence': 0.6::DOUBLE}, {'position': 2, 'type': 'STRING', 'path': 'extensions.token_2', 'confidence': 0.6::DOUBLE}, {'position': 3, 'type': 'STRING', 'path': 'extensions.token_3', 'confidence': 0.6::DOUBLE}] END, recursive := true)
-      FROM e WHERE kind IN (6, 7)) GROUP BY ALL""")
-)
-def inf6_token_types(spark, sf_dir):
-    """The types of all tokens of key=value and of unknown lines."""
-    rows = raw_logs(spark, sf_dir).where("ingest_seq % 8 in (6, 7)")
-    toks = rows.select(F.explode(infer.typed(infer.tokens(F.col("raw_message")))).alias("t"))
-    return toks.groupBy("t.position", "t.type", "t.path", "t.confidence").agg(F.count("*").alias("n"))
-
-
-@query(expected("SELECT CASE WHEN kind = 6 THEN 'device=<*> src=<*> dst=<*> spt=<*> dpt=<*> proto=<*> action=<*> user=<*>' ELSE concat('GARBAGE-', seq % 13, ' session started token') END AS template, count(*) AS n FROM e WHERE kind IN (6, 7) GROUP BY ALL"))
-def inf1_first_templates(spark, sf_dir):
-    rows = raw_logs(spark, sf_dir).where("ingest_seq % 8 in (6, 7)")
-    return rows.groupBy(F.array_join(infer.first_template(infer.tokens(F.col("raw_message"))), " ").alias("template")).agg(F.count("*").alias("n"))
-
-
 @query()
 def inf6_all_token_types(spark, sf_dir):
     """The types of all tokens of all lines."""

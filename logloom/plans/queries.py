@@ -118,19 +118,6 @@ def prs9_json(spark, sf_dir):
     return _parsed(spark, sf_dir, "json_generic_parser")
 
 
-@query(
-    expected("""SELECT parser_name, key, count(*) AS n, count(DISTINCT value) AS n_values FROM (SELECT parser_name, unnest(CASE kind
-      WHEN 0 THEN [{'key': 'vendorCode', 'value': '%ASA-4-106023'}, {'key': 'ciscoRuleId', 'value': 'acl-1'}] WHEN 1 THEN []
-      WHEN 2 THEN [{'key': 'cefVersion', 'value': '0'}, {'key': 'deviceEventClassId', 'value': CAST(2000000 + seq % 97 AS VARCHAR)}]
-      WHEN 3 THEN [{'key': 'leefVersion', 'value': '1.0'}, {'key': 'eventId', 'value': 'Login'}] WHEN 4 THEN [{'key': 'event_type', 'value': 'alert'}]
-      WHEN 5 THEN [{'key': 'ruleName', 'value': 'rule-1'}, {'key': 'application', 'value': 'web'}, {'key': 'field_12', 'value': usr}] WHEN 6 THEN [{'key': 'device', 'value': 'FG'}, {'key': 'user', 'value': usr}] END, recursive := true) FROM e) GROUP BY ALL""")
-)
-def fn_extensions(spark, sf_dir):
-    shown = ["vendorCode", "ciscoRuleId", "cefVersion", "deviceEventClassId", "leefVersion", "eventId", "event_type", "ruleName", "application", "field_12", "device", "user"]
-    rows = normalized(spark, sf_dir).select("parser_name", F.explode("extensions").alias("key", "value")).where(F.col("key").isin(shown))
-    return rows.groupBy("parser_name", "key").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
-
-
 @query(
     """WITH a AS (SELECT event_id, event_id % 256 AS a, user_id % 256 AS b, event_id % 7 AS c, user_id % 9 AS d FROM events),
     p AS (SELECT concat(a, '.', b, '.', c, '.', d) AS ip, (a IN (10, 127) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 169 AND b = 254) OR (a = 100 AND b BETWEEN 64 AND 127)) AS inside FROM a)

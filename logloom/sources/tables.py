@@ -112,6 +112,12 @@ def _pointer(spark: SparkSession, path: str) -> dict[str, int]:
     return json.loads(_text(spark, f"{path}/{_CURRENT}/{found[-1]}")) if found else {}
 
 
+def version(spark: SparkSession, path: str) -> int | None:
+    """The number of the pointer that counts; it grows with each ``upsert``."""
+    found = [int(n) for n in names(spark, f"{path}/{_CURRENT}") if n.isdigit()]
+    return max(found, default=None)
+
+
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of a table that ``upsert`` keeps; None before its first rows."""
     folders = [f"{path}/version={v}/bucket={b}" for b, v in _pointer(spark, path).items()]
@@ -141,20 +147,20 @@ def upsert(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> li
     pointer, so readers see the state before. Versions that no pointer names go with the next run but one, when their readers are done.
     """
     spark = rows.sparkSession
-    at, version = _pointer(spark, path), 1 + max((int(n.partition("=")[2]) for n in names(spark, path) if n.startswith("version=")), default=0)
+    at, new_version = _pointer(spark, path), 1 + max((int(n.partition("=")[2]) for n in names(spark, path) if n.startswith("version=")), default=0)
     new = materialised(_bucketed(rows, keys, buckets), "upsert")
     touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most ``buckets``
     if not touched:
         return []
     old = [f"{path}/version={at[str(b)]}/bucket={b}" for b in touched if str(b) in at]
     if old:
-        kept = spark.read.option("basePath", path).parquet(*old).drop("version")
+        kept = _bucketed(spark.read.parquet(*old), keys, buckets)
         same = [kept[k].eqNullSafe(new[k]) for k in keys]
         new = new.unionByName(kept.join(new, [kept["bucket"] == new["bucket"], *same], "left_anti").select(*new.columns))
-    new.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/version={version}")
+    new.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(f"{path}/version={new_version}")
     for b in touched:
-        at[str(b)] = version
-    _write_text(spark, f"{path}/{_CURRENT}/{version:09d}", json.dumps(at))
+        at[str(b)] = new_version
+    _write_text(spark, f"{path}/{_CURRENT}/{new_version:09d}", json.dumps(at))
     pointers = [n for n in names(spark, f"{path}/{_CURRENT}") if n.isdigit()]
     for stale in pointers[:-2]:
         remove(spark, f"{path}/{_CURRENT}/{stale}")

@@ -10,6 +10,7 @@ from logloom.operators.parsers.dynamic import DynamicParser, dynamic
 from logloom.plans.config import Config
 from logloom.plans.normalize import events, normalize
 from logloom.sources import tables
+from logloom.sources.lines import as_raw, stream_files
 from logloom.streaming import gateway, jobs
 
 AT = datetime(2026, 1, 5, 10, 0)
@@ -90,3 +91,37 @@ def test_live_tables(spark, tmp_path):
     assert figures["outcome", "stored"] == 4 and figures["outcome", "quarantined"] == 2 and figures["latency", "latest"] == 6
     found = gateway.live_state.latest_incidents(spark.read.parquet(f"{out}/live_incidents")).collect()
     assert [(r.correlation_key, r.event_count) for r in found] == [("10.0.0.1", 4)]
+
+
+def test_rules_reach_a_running_engine(spark, tmp_path):
+    """A rule that another store changes takes part from the next micro-batch on, and outlives the engine; all versions stay."""
+    source, out, rules = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "rules")
+    source.mkdir()
+    asked = sigma.stored_rules(spark, rules)
+    assert asked() == list(sigma.RULES)
+
+    def run(n):
+        (source / f"{n}.log").write_text("src=10.0.0.1 dst=10.0.0.2 dpt=23 action=deny\n")
+        gateway.run(as_raw(stream_files(spark, str(source)), "value", "FILE"), out, str(tmp_path / "checkpoint"), rules=asked, available_now=True).awaitTermination(100)
+        return sorted(r.rule_id for r in spark.read.parquet(f"{out}/alerts").where(F.col("batch") == n).collect())
+
+    assert run(0) == ["SIGMA-T1552-TELNET-001"]
+    store = sigma.RuleStore()
+    assert store.save(spark, rules) == len(sigma.RULES) and store.save(spark, rules) == 0
+    store.toggle("SIGMA-T1552-TELNET-001", False)
+    store.upsert(sigma.parse_rule({"id": "MINE", "title": "t", "level": "high", "tags": ["attack.t1021"], "detection": {"a": {"dst_port": [23], "source.ip|startswith": "10."}, "condition": "a"}}))
+    assert store.save(spark, rules) == 2 and run(1) == ["MINE"]
+    other = sigma.RuleStore.load(spark, rules)
+    assert other.rules() == store.rules()
+    other.delete("MINE")
+    other.save(spark, rules)
+    assert run(2) == [] and "MINE" not in {r.id for r in sigma.RuleStore.load(spark, rules).rules()}
+    assert {r.version for r in tables.current(spark, rules).where("rule_id = 'MINE'").collect()} == {1, 2}
+
+
+def test_rule_files(tmp_path):
+    (tmp_path / "b.json").write_text('{"id": "B", "title": "b", "detection": {"selection": {"dst_port": 1}}}')
+    (tmp_path / "a.json").write_text('{"id": "A", "title": "a", "detection": {"selection": {"user|contains": ["x", "y"]}}}')
+    (tmp_path / "note.txt").write_text("none")
+    found = sigma.load_rules(str(tmp_path))
+    assert [r.id for r in found] == ["A", "B"] and [sigma.rule_from_text(sigma.rule_text(r)) for r in found] == found

@@ -169,3 +169,12 @@ def test_latency(spark):
     r = metrics.latency(df, "v", "at").first()
     assert (r.n, r.p50, r.p95, r.p99) == (200, 200.0, 290.0, 298.0)
     assert metrics.latency(df.limit(0), "v", "at").first().n == 0
+
+
+def test_events_of_all_parts_of_a_narrative(spark):
+    """An event that has detections in several parts is listed once, in the first."""
+    rows = [("INC", "k", f"2026-01-05 10:00:0{i}", e, f"t{i}", "T1", "Discovery") for i, e in enumerate("abacba")]
+    found = spark.createDataFrame(rows, "incident_key string, key string, at string, event_id string, title string, technique_id string, tactic string").withColumn("at", F.col("at").cast("timestamp"))
+    parts = correlate.narratives(found, steps=2).orderBy("part").collect()
+    assert [p.member_event_ids for p in parts] == [["a", "b"], ["c"], []] and {p.parts for p in parts} == {3}
+    assert "".join(p.narrative for p in parts).count("', ") == 0 and all(f"'t{i}'" in parts[i // 2].narrative for i in range(6))
