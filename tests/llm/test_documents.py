@@ -130,6 +130,34 @@ def test_quality(spark, sf_dir, docs, odd):
     assert quality.threshold(np.array([1.0, 2.0]), np.array([-1.0, 0.0])) == 0.5
 
 
+def test_quality_verdicts_by_brute_force(spark, sf_dir, docs):
+    """Every row's score, the threshold over the labelled rows that were held out, and every verdict, from texts and labels alone."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = {r.doc_id: r for r in quality.assess(docs, labels).collect()}
+    texts = dict(docs.select("doc_id", "text").collect())
+    token = re.compile(r"\w+|[^\w\s]+")
+    trusted, poor = quality._sample(labels, True, quality.SAMPLE), quality._sample(labels, False, quality.SAMPLE)
+    of = {}
+    for i, t in texts.items():
+        h = [zlib.crc32(x.encode()) for x in token.findall(t or "")]
+        of[i] = [x % quality.BUCKETS for x in h + [((a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % 2**64) >> 40 for a, b in zip(h, h[1:])]]
+    raw, target = Counter(b for x in of.values() for b in x), Counter(b for i in trusted[::2] for b in of.get(i, ()))
+    k, n, m = quality.BUCKETS, sum(raw.values()), sum(target.values())
+    ratio = {b: math.log((target[b] + k * (c + 1) / (n + k)) / (m + k)) - math.log((c + 1) / (n + k)) for b, c in raw.items()}
+    scores = {i: sum(ratio[b] for b in x) / len(x) if x else 0.0 for i, x in of.items()}
+    assert all(abs(scores[i] - rows[i].score) < 1e-9 for i in texts)
+    words = {i: brute_base(t) for i, t in texts.items()}
+    good, bad = ([scores[i] for i in ids if i in texts and words[i][0] >= quality.FEW_WORDS] for ids in (trusted[1::2], poor))
+    values = sorted({*good, *bad})
+    told = [round(sum(x >= v for x in good) / len(good) + sum(x < v for x in bad) / len(bad), 12) for v in values]
+    at = told.index(max(told))
+    cut = values[at] if not at else (values[at - 1] + values[at]) / 2
+    for i, r in rows.items():
+        failed = words[i][0] < 50 or 100 * words[i][4] > 50 * words[i][0]
+        assert r.base_failed == failed and r.kept == (not failed and scores[i] >= cut)
+    assert 0 < sum(r.kept for r in rows.values()) < len(rows)
+
+
 def test_quality_verdicts_follow_the_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     known = {r.doc_id: r.quality for r in labels.collect()}
