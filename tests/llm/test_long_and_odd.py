@@ -75,6 +75,25 @@ def test_archives_with_long_pages_and_clashing_columns(spark, tmp_path):
     assert found == [(1, 10_000_000, "response", None), (2, 10_000_000, "revisit", 1), (3, 0, "response", None)]
 
 
+def test_private_keys_as_in_sql(spark, tmp_path):
+    """Planted keys: whole ones, one in a quoted string, an encrypted one, one without an END line, a header alone, and hyphens within."""
+    import duckdb
+
+    begin, end, body = "-----BEGIN RSA PRIVATE " + "KEY-----", "-----END RSA PRIVATE " + "KEY-----", "\n".join(["MIIEpAIBAAKCAQEA" * 4] * 3)
+    keys = [
+        f"{begin}\n{body}\nabc=\n{end}", f'"{begin}\\n{body}\\n{end}"', f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0\n\n{body}\n{end}", f"{begin}\n{body}\n\nSome words after.",
+        f"{begin} is only a header", f"{begin}\nx--y----z\n{end} and {end}", f"{begin}\n{body}\n------\n{end}", f"{begin}\n{body}\n{end}\n{begin}\n{body}\n{end}",
+    ]
+    rows = [(i, f"token=abcdef123 é before\n{k}\nsecret: 'hunter22' after") for i, k in enumerate(keys)] + [(90, None), (91, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.spans for r in queries.op10_secret_scans(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(f"SELECT doc_id, spans FROM ({secrets.oracle_sql()})").fetchall())
+    assert got == want
+    assert [got[i].count("pem:") for i in range(8)] == [1, 1, 1, 1, 1, 1, 1, 2] and all("assign:0:15" in got[i] for i in range(8))
+
+
 def test_compacted_ledger(spark, tmp_path):
     docs = spark.createDataFrame([(1, "token=abcdef123"), (2, "gh" + "p_" + "a1" * 20), (3, "")], "doc_id long, text string")
     ledger, small = str(tmp_path / "ledger"), str(tmp_path / "small")
