@@ -16,6 +16,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -160,9 +161,15 @@ class Plan:
         return padded_length(min(self.window, self.total - sequence * self.window), self.window)
 
 
+@lru_cache(1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """A Python worker's tokenizer, with the words that it has met, of which it holds a bounded number, for all its tasks."""
+    return WordTokenizer(path)
+
+
 def _tokenized(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pid, seen = WordTokenizer(path), TaskContext.get().partitionId(), {}
+        words, pid, seen = _tokenizer(path), TaskContext.get().partitionId(), {}
         end = np.array([END], words.dtype).tobytes()
         size = len(end)
         for part in text_rows(batches, 256):
