@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import correlate, drift, enrich, export, lineage, sigma
-from logloom.plans.normalize import quarantine
+from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, sigma
+from logloom.plans.normalize import normalize, quarantine
 from logloom.plans.oracle import DETECTIONS, EXPECTED, _WINDOW, detected, expected, merkle
 from logloom.plans.queries import ORACLE_SQL, _batches, _detections, normalized, query, seq, stored
+from logloom.plans.raw_logs import raw_logs
 from logloom.sources.tables import append_ledger, current, materialised, names, put, shared_dir, table, upsert
 from logloom.streaming import live
 
@@ -166,3 +167,12 @@ def src7_stored_rules(spark, sf_dir):
     rules = sigma.stored_rules(spark, path)()
     rows = stored(spark, sf_dir).withColumns(sigma.fields(rules)).withColumns(sigma.lowered(rules))
     return rows.select(F.explode(sigma.evaluate(rules)).alias("m")).groupBy(F.col("m.rule_id").alias("rule_id")).agg(F.count("*").alias("n"))
+
+
+@query(ORACLE_SQL["prs13_dynamic_parser"])
+def prs13_parser_index(spark, sf_dir):
+    """All lines again, with a table of parsers, one for each template of the unknown lines, looked up by its index."""
+    unknown = quarantine(normalized(spark, sf_dir)).where("failure_code = 'UNPARSEABLE_FORMAT'")
+    parsers = materialised(parser_index.approved(infer.infer(infer.mine(unknown))), "approvals")
+    rows = normalize(raw_logs(spark, sf_dir), index=parser_index.build(parsers))
+    return rows.groupBy("format", F.col("outcome.code").alias("code")).agg(F.count("*").alias("n"))

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.text import blank, internal, strip
-from logloom.operators import sigma
+from logloom.operators import parser_index, sigma
 from logloom.operators.classify import classify
 from logloom.operators.enrich import service, technique
+from logloom.operators.parser_index import ParserIndex
 from logloom.operators.parsers.base import FIELDS, Parser, Work
 from logloom.operators.parsers.cef_leef import CEF_LEEF
 from logloom.operators.parsers.csv_kv import CSV_KV
@@ -71,45 +72,54 @@ class _Steps(list):
 _KNOWN: OrderedDict[tuple, _Steps] = OrderedDict()
 
 
-def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.SigmaRule] = sigma.RULES, dynamic: Sequence[Parser] = ()) -> DataFrame:
+def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.SigmaRule] = sigma.RULES, dynamic: Sequence[Parser] = (), index: ParserIndex | None = None, lookups: str | None = None) -> DataFrame:
     """``raw`` (raw_message, source, received_at, ingest_seq) to one row for each line, with an ``outcome``: NORMAL, or the code
     and reason for which the line is quarantined.
 
     Ids follow from the line, its source, time and number, so that a task that runs again gives the same ids. Dynamic parsers are
-    asked first, by name. Times that a line lacks are ``received_at``. Null lines are empty lines. The expressions are made once for
+    asked first, by name, those of ``index`` among them; these are looked up by joins (hits go to ``lookups``), so there may be any number. Times that a line lacks are ``received_at``. Null lines are empty lines. The expressions are made once for
     each set of rules, parsers and settings, so the micro-batches of a stream share them.
     """
-    key = (raw.sparkSession.sparkContext.applicationId, config, repr(tuple(rules)), tuple(dynamic))
+    key = (raw.sparkSession.sparkContext.applicationId, config, repr(tuple(rules)), tuple(dynamic), index is not None)
     if key not in _KNOWN:
-        _KNOWN[key] = _steps(config, rules, dynamic)
+        _KNOWN[key] = _steps(config, rules, dynamic, index is not None)
         if len(_KNOWN) > 8:
             _KNOWN.popitem(last=False)
+    if index is not None:
+        raw = index.attach(raw, raw_hash(F.col("raw_message")), lookups)
     for step in _KNOWN[key]:
         raw = step(raw)
     return raw
 
 
-def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[Parser]) -> _Steps:
+def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[Parser], indexed: bool = False) -> _Steps:
     steps = _Steps()
-    parsers = [*sorted((p for p in dynamic if p.active), key=lambda p: p.name), *[p for p in NATIVE if p.active]]
+    chosen = sorted((p for p in dynamic if p.active), key=lambda p: p.name)
+    parsers = [*chosen, *[p for p in NATIVE if p.active]]
     raw_line, line, received = F.col("raw_message"), F.col("line"), F.col("received_at")
     steps.add({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
     fmt = F.coalesce(F.col("class.format"), F.lit("UNKNOWN"))
     route = F.when(raw_line.isNull(), -1)
     for i, p in enumerate(parsers):
+        if indexed and i <= len(chosen):  # before the natives, and before those of a later name
+            route = route.when(F.col("approved").isNotNull() & ((F.col("approved.name") < p.name) if i < len(chosen) else F.lit(True)), len(parsers))
         route = route.when(F.coalesce(p.takes(raw_line, fmt), F.lit(False)), i)
     steps.add({"route": route.otherwise(-1), "key": _hex_id(F.col("raw_hash"), F.col("source"), F.unix_micros(received), F.col("ingest_seq"))})
     work, body = Work(), F.lit(None).cast(f"struct<{','.join(f'{k}:{v}' for k, v in FIELDS.items())}>")
     for i, p in reversed([*enumerate(parsers)]):
         here = F.col("route") == i
         body = F.when(here, p.parse(work.of(f"{i}", here), raw_line, line, received)).otherwise(body)
+    if indexed:
+        here = F.col("route") == len(parsers)
+        body = F.when(here, parser_index.parse(work.of("index", here), raw_line, line, received)).otherwise(body)
     for layer in sorted(work.layers):
         steps.add(work.layers[layer])
     # Filters on parsed fields stay above this projection: moved below it, they would repeat the parsers for every field. The
     # partition's number, which is never negative, is what keeps the optimizer from moving them.
     steps.add({"p": F.when(F.spark_partition_id() >= 0, body), "raw_low": F.lower(raw_line)})
     by_route = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("route") + 1) if parsers else F.lit(None).cast("string")
-    named = lambda values: F.when(F.col("route") >= 0, by_route(values))
+    in_index = lambda field: F.when(F.col("route") == len(parsers), F.col(f"approved.{field}")) if indexed else F.lit(None).cast("string")
+    named = lambda values, field: F.coalesce(in_index(field), F.when((F.col("route") >= 0) & (F.col("route") < len(parsers)), by_route(values)))
     p = lambda k: F.col(f"p.{k}")
     inside = lambda ip: F.when(p("error").isNull() & F.col("p").isNotNull(), internal(ip)) if config.ip_classification else F.lit(None).cast("boolean")
     endpoint = lambda s: F.struct(
@@ -128,7 +138,7 @@ def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[P
         F.struct(p("protocol").alias("protocol"), p("direction").alias("direction"), transport.alias("transport")).alias("network"),
         F.struct(p("vendor").alias("vendor"), p("product").alias("product"), p("observer_host").alias("hostname"), p("observer_version").alias("version")).alias("observer"),
         threat.alias("technique"), F.struct(raw_line.alias("message"), p("raw_format").alias("format")).alias("raw"), p("extensions").alias("extensions"), p("confidence").alias("confidence"),
-        named([x.name for x in parsers]).alias("parser_name"), named([x.version for x in parsers]).alias("parser_version"), named([x.format_type for x in parsers]).alias("format"),
+        named([x.name for x in parsers], "name").alias("parser_name"), named([x.version for x in parsers], "version").alias("parser_version"), named([x.format_type for x in parsers], "format_type").alias("format"),
     )
     found = sigma.evaluate(rules) if config.sigma else F.array().cast(f"array<{sigma.MATCH}>")
     if config.sigma:

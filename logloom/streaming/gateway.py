@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from logloom.operators import sigma
+from logloom.operators.parser_index import ParserIndex
 from logloom.operators.parsers.base import Parser
 from logloom.plans.config import Config
 from logloom.plans.normalize import events, normalize, quarantine
@@ -49,15 +50,15 @@ def live(spark: SparkSession, out: str, checkpoint: str, minutes: int = 30, avai
 
 def run(
     raw: DataFrame, out: str, checkpoint: str, config: Config = Config(), rules: Sequence[sigma.SigmaRule] | Callable[[], Sequence[sigma.SigmaRule]] = sigma.RULES, dynamic: Callable[[], Sequence[Parser]] = tuple,
-    available_now: bool = False, every: str = "10 seconds",
+    available_now: bool = False, every: str = "10 seconds", index: Callable[[], ParserIndex | None] = lambda: None,
 ) -> StreamingQuery:
-    """Starts the stream. ``dynamic``, and ``rules`` where that is a function (``sigma.stored_rules``), are asked at every micro-batch, so an
+    """Starts the stream. ``dynamic``, ``index`` (of a table of parsers), and ``rules`` where that is a function (``sigma.stored_rules``), are asked at every micro-batch, so an
     approved parser or a changed rule takes part from the next one on. No line is dropped for being late: there is no event-time state."""
 
     def each(rows: DataFrame, batch: int) -> None:
         if "ingest_seq" not in rows.columns:
             rows = rows.withColumn("ingest_seq", F.monotonically_increasing_id())
-        write_batch(normalize(rows, config, rules() if callable(rules) else rules, dynamic()), batch, out)
+        write_batch(normalize(rows, config, rules() if callable(rules) else rules, dynamic(), index(), f"{out}/lookups"), batch, out)
 
     writer = raw.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
