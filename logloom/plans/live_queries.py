@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import uuid
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, sigma
+from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, search, sigma
 from logloom.plans.normalize import normalize, quarantine
 from logloom.plans.oracle import DETECTIONS, EXPECTED, _WINDOW, detected, expected, merkle
 from logloom.plans.queries import ORACLE_SQL, _batches, _detections, normalized, query, seq, stored
 from logloom.plans.raw_logs import raw_logs
+from logloom.sources import clustered
 from logloom.sources.tables import append_ledger, current, materialised, names, put, shared_dir, table, upsert
 from logloom.streaming import live
 
@@ -176,3 +178,33 @@ def prs13_parser_index(spark, sf_dir):
     parsers = materialised(parser_index.approved(infer.infer(infer.mine(unknown))), "approvals")
     rows = normalize(raw_logs(spark, sf_dir), index=parser_index.build(parsers))
     return rows.groupBy("format", F.col("outcome.code").alias("code")).agg(F.count("*").alias("n"))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> str:
+    path = _place(spark, "clustered")
+    clustered.store(stored(spark, sf_dir), path)
+    return path
+
+
+@query(ORACLE_SQL["fil2_event_by_id"])
+def fil2_filtered_lookup(spark, sf_dir):
+    """The event of the last line by its id, from a table with Bloom filters of all stored events."""
+    path = _clustered(spark, sf_dir)
+    rows = clustered.rows_of(spark, path)
+    wanted = rows.agg(F.max_by("event_id", "ingest_seq")).first()[0]
+    return search.by_id(rows, "event_id", wanted).select(seq(), F.col("event_id").alias("event_uid"))
+
+
+@query(ORACLE_SQL["fil1_event_search"])
+def fil1_clustered_search(spark, sf_dir):
+    """The search of all stored events, in a table by ranges of time."""
+    found = search.search_events(clustered.rows_of(spark, _clustered(spark, sf_dir)), action="BLOCKED", severity="High", fmt="SYSLOG", since=datetime(2020, 1, 1))
+    return found.select(seq(), F.col("event_id").alias("event_uid"), F.col("source.ip").alias("src_ip"), F.col("destination.port").alias("dpt"))
+
+
+@query(ORACLE_SQL["srt3_event_page"])
+def srt3_page_by_key(spark, sf_dir):
+    """The second page of all stored events, by the key of the first page's last row."""
+    path = _clustered(spark, sf_dir)
+    last = clustered.page(spark, path).collect()[-1]
+    return clustered.page(spark, path, (last.timestamp_utc, last.ingest_seq)).select(seq(), F.col("event.action").alias("action"))

@@ -74,11 +74,11 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def put(rows: DataFrame, path: str, form: str = "parquet") -> None:
+def put(rows: DataFrame, path: str, form: str = "parquet", options: dict[str, str] | None = None) -> None:
     """Writes a folder whole: beside its place under a name that readers skip, then renamed. What was there before goes."""
     spark, (parent, _, name) = rows.sparkSession, path.rstrip("/").rpartition("/")
     draft = f"{parent}/_{name}-{uuid.uuid4().hex}"
-    rows.write.format(form).save(draft)
+    rows.write.format(form).options(**(options or {})).save(draft)
     remove(spark, path)
     where, files = _where(spark, path)
     files.mkdirs(where.getParent())
