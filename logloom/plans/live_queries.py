@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, search, sigma
+from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, rule_index, search, sigma
 from logloom.plans.normalize import normalize, quarantine
 from logloom.plans.oracle import DETECTIONS, EXPECTED, _WINDOW, detected, expected, merkle
 from logloom.plans.queries import ORACLE_SQL, _batches, _detections, normalized, query, seq, stored
@@ -208,3 +208,19 @@ def srt3_page_by_key(spark, sf_dir):
     path = _clustered(spark, sf_dir)
     last = clustered.page(spark, path).collect()[-1]
     return clustered.page(spark, path, (last.timestamp_utc, last.ingest_seq)).select(seq(), F.col("event.action").alias("action"))
+
+
+@query(ORACLE_SQL["sig6_matches"])
+def sig6_rule_index(spark, sf_dir):
+    """The bundled rules over all stored events, by the index of their values."""
+    found = rule_index.build(spark, sigma.RULES).matches(stored(spark, sf_dir))
+    return stored(spark, sf_dir).select("event_id", seq()).join(found, "event_id").select("seq", F.inline("sigma_matches")).drop("matched_details")
+
+
+@query(expected("SELECT seq, concat('ADDRESS-', src_ip) AS rule_id FROM n WHERE action = 'blocked' AND src_ip LIKE '192.168.%'"))
+def sig6_thousand_rules(spark, sf_dir):
+    """A rule for each address of four networks, over all stored events."""
+    address = lambda ip: {"id": f"ADDRESS-{ip}", "title": "t", "detection": {"where": {"source.ip": ip}, "what": {"event.action|startswith": "BLOCK"}, "condition": "where and what"}}
+    rules = [sigma.parse_rule(address(f"192.168.{k}.{i}")) for k in range(4) for i in range(1, 251)]
+    found = rule_index.build(spark, rules).matches(stored(spark, sf_dir))
+    return stored(spark, sf_dir).select("event_id", seq()).join(found, "event_id").select("seq", F.explode("sigma_matches.rule_id").alias("rule_id"))
