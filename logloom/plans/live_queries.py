@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import correlate, drift, enrich, export, infer, lineage, parser_index, rule_index, search, sigma
+from logloom.operators import bundles, correlate, drift, enrich, export, infer, lineage, parser_index, rule_index, search, sigma
 from logloom.plans.normalize import normalize, quarantine
 from logloom.plans.oracle import DETECTIONS, EXPECTED, _WINDOW, detected, expected, merkle
 from logloom.plans.queries import ORACLE_SQL, _batches, _detections, normalized, query, seq, stored
@@ -224,3 +224,12 @@ def sig6_thousand_rules(spark, sf_dir):
     rules = [sigma.parse_rule(address(f"192.168.{k}.{i}")) for k in range(4) for i in range(1, 251)]
     found = rule_index.build(spark, rules).matches(stored(spark, sf_dir))
     return stored(spark, sf_dir).select("event_id", seq()).join(found, "event_id").select("seq", F.explode("sigma_matches.rule_id").alias("rule_id"))
+
+
+@query(merkle("SELECT batch_number, (SELECT count(*) FROM leaves l WHERE l.batch_number = up.batch_number) AS leaf_count, hash AS merkle_root, true AS verified FROM up WHERE n = 1"))
+def mrk7_chunked_bundles(spark, sf_dir):
+    """The batches of all days in chunks, each chunk's leaves led up to the batch's root."""
+    leaves = materialised(_batches(spark, sf_dir), "leaves")
+    nodes = materialised(lineage.tree_nodes(leaves), "tree")
+    roots = lineage.roots(leaves, nodes)
+    return bundles.verified(bundles.chunks(leaves, nodes), roots).join(roots.select("batch_number", "merkle_root"), "batch_number")

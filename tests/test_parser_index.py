@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from logloom.operators import infer, parser_index
 from logloom.operators.parsers.dynamic import DynamicParser, FieldMapping, dynamic
 from logloom.plans.normalize import normalize
+from logloom.sources.tables import put
+from logloom.streaming import gateway
 
 PATHS = ["source.ip", "destination.ip", "source.port", "destination.port", "network.protocol", "event.action", "source.user", "timestampUtc", "extensions.a", "extensions.b"]
 VALUES = ["10.0.0.1", "in:10.0.0.2/80", "fe80::1", "(eve)", "deny", "Accepted", "tcp", "443", "99999", "user=bob", "'x'", "http://h/p", "2026-01-01T00:00:00Z", "[]", "a:b"]
@@ -101,3 +103,18 @@ def test_approved_without_a_bound(spark):
     assert len(names) == len(set(names)) == mined.select("template").distinct().count() == 300 and {"same", "same_2"} < set(names)
     rows = normalize(lines, index=parser_index.build(parsers))
     assert rows.select("parser_name").distinct().count() == 300 and rows.where("parser_name IS NULL").count() == 0
+
+
+def test_stream_asks_for_the_index(spark, tmp_path):
+    """Parsers that are approved while the stream stands take part from its next batch on."""
+    table, folder = str(tmp_path / "parsers"), str(tmp_path / "in")
+    parsers = some_parsers(spark, random.Random(9), 2)
+    frame(spark, [p.template.replace("<*>", "v") for p in parsers]).write.parquet(folder)
+    seen = []
+    for known in (parsers[:1], parsers):
+        put(table_of(spark, known), table)
+        stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        gateway.run(stream, str(tmp_path / "out"), str(tmp_path / "at"), available_now=True, index=lambda: parser_index.build(spark.read.parquet(table))).awaitTermination()
+        seen.append(sorted(r.parser_name for r in spark.read.parquet(str(tmp_path / "out/normalized")).where("parser_name LIKE 'p0%'").collect()))
+        frame(spark, [p.template.replace("<*>", "w") for p in parsers]).write.mode("append").parquet(folder)
+    assert seen == [["p000"], ["p000", "p000", "p001"]]
