@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.lineage import STEP, _parents, proof_root, proofs, tree_nodes
+from logloom.operators.lineage import STEP, _parents, one_a_batch, proof_root, proofs, tree_nodes
 
 CHUNK = 1 << STEP
 
@@ -15,7 +15,7 @@ def chunks(leaves: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     ``level`` levels below, and its siblings from there to the batch's root. A batch of fewer leaves is one chunk, with an empty path. No row
     holds more than 1,024 leaves. Batches without leaves have no chunk."""
     nodes = nodes if nodes is not None else tree_nodes(leaves)
-    height = nodes.groupBy("batch_number").agg(F.least(F.max("level"), F.lit(STEP)).alias("base"))
+    height = one_a_batch(nodes.groupBy("batch_number").agg(F.least(F.max("level"), F.lit(STEP)).alias("base")), "bases")
     above = nodes.join(height, "batch_number").where(F.col("level") >= F.col("base")).select("batch_number", (F.col("level") - F.col("base")).alias("level"), "index", "hash")
     tops = above.where("level = 0").select("batch_number", F.col("index").alias("leaf_index"), "hash")
     paths = proofs(tops, tops, above).select("batch_number", F.col("leaf_index").alias("chunk"), F.col("hash").alias("subtree_root"), F.col("proof").alias("path"))

@@ -56,6 +56,13 @@ def seal(raw: DataFrame, sealed: DataFrame | None = None, batch_number: int | No
     return numbered(rows, ["batch_number"], ["received_at", "ingest_seq", "raw_event_id"], "leaf_index").select("batch_number", "leaf_index", "raw_event_id", "hash")
 
 
+def one_a_batch(rows: DataFrame, tag: str) -> DataFrame:
+    """Rows, one for each batch, to be joined with leaves or nodes: written, and broadcast up to 10,000 of them, so that a batch's leaves need not
+    meet in one partition. Of more, Spark splits a large batch, as no sum stands below the join."""
+    kept = materialised(rows, tag)
+    return F.broadcast(kept) if kept.count() <= 10_000 else kept
+
+
 def _parents(nodes: Column) -> Column:
     """The level above an array of nodes."""
     at = lambda i: F.coalesce(F.get(nodes, i), F.get(nodes, i - 1))
@@ -73,7 +80,7 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
     level = leaves.select("batch_number", F.col("leaf_index").alias("index"), "hash")
     found, height, most = [level.withColumn("level", F.lit(0))], 0, 2
     while most > 1:
-        sizes = level.groupBy(F.col("batch_number").alias("b")).agg(F.count("*").alias("n"))
+        sizes = one_a_batch(level.groupBy(F.col("batch_number").alias("b")).agg(F.count("*").alias("n")), "sizes")
         groups = level.join(sizes, F.col("batch_number") == F.col("b")).groupBy("batch_number", "n", F.shiftright("index", STEP).alias("g"))
         nodes = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("index", "hash"))), lambda x: x["hash"]).alias("nodes"))
         # A batch of one group ends at its root; where there are more, each group is carried up all its levels.
@@ -209,7 +216,7 @@ def proofs(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None)
     """For each wanted (batch_number, leaf_index): its hash and ``proof``, the siblings from below (level, hash, side). A node without
     a sibling has itself on its right."""
     nodes = nodes if nodes is not None else tree_nodes(leaves)
-    height = nodes.groupBy("batch_number").agg(F.max("level").alias("height"))
+    height = one_a_batch(nodes.groupBy("batch_number").agg(F.max("level").alias("height")), "heights")
     own = wanted.select("batch_number", "leaf_index").join(leaves, ["batch_number", "leaf_index"]).join(height, "batch_number")
     steps = own.select("batch_number", "leaf_index", "hash", F.explode_outer(F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1))).alias("step"))
     at = F.expr("shiftright(leaf_index, step)")
