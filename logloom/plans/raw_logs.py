@@ -23,6 +23,9 @@ LINES = """SELECT event_id, ts, CASE kind
  ELSE concat('GARBAGE-', CAST(event_id % 13 AS {S}), ' session started token') END AS raw_message FROM base"""
 
 
+TASK_LINES = 50_000  # lines that a task parses, at most about
+
+
 def lines_sql(string_type: str) -> str:
     """The lines as SQL, for engines that call texts ``string_type``."""
     return f"WITH base AS ({BASE.format(S=string_type)}) {LINES.format(S=string_type)}"
@@ -30,10 +33,10 @@ def lines_sql(string_type: str) -> str:
 
 def lines_table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """(raw_message, source, received_at, ingest_seq) of a statement over ``events`` that gives event_id, ts and raw_message."""
-    # Lines cost far more to parse than to read: a small table is spread over all cores.
+    # Lines cost far more to parse than to read, and a file's splits say nothing of how its rows lie in row groups: rows are dealt out by number.
     events = table(spark, sf_dir, "events")
-    cores = spark.sparkContext.defaultParallelism
-    (events if events.rdd.getNumPartitions() >= cores else events.repartition(cores)).createOrReplaceTempView("logloom_events")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-events.count() // TASK_LINES))
+    events.repartition(tasks).createOrReplaceTempView("logloom_events")
     rows = spark.sql(sql.replace("FROM events", "FROM logloom_events"))
     return rows.selectExpr("raw_message", "'DERIVED' AS source", "CAST(ts AS TIMESTAMP) AS received_at", "event_id AS ingest_seq")
 
