@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,20 +213,72 @@ def proofs_by_hash(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None
     return joined.withColumn("proof", F.coalesce("proof", F.filter(F.array(F.struct(F.lit(0).alias("level"), F.lit("").alias("hash"), F.lit("").alias("side"))), lambda _: F.lit(False))))
 
 
+_KIND = {"leaf": -1, "asked": -2, "above": -3}  # rows of a group beside its nodes, which have their level (0 to 9)
+_ENTRY = pa.struct([("level", pa.int32()), ("hash", pa.string()), ("side", pa.string())])
+_PROOF_DDL = "array<struct<level:int,hash:string,side:string>>"
+
+
+def _climb(height: int):
+    """A group's nodes, the places that are asked for, and the group's own path upward, to the proof of each place."""
+    starts = (2 << STEP) - ((2 << STEP) >> np.arange(STEP + 1))  # of each level's slots
+
+    def run(key, rows):
+        group = key[1].as_py()
+        kind, index = rows.column("kind").to_numpy(), rows.column("index").to_numpy()
+        hashes, above = rows.column("hash").combine_chunks(), np.flatnonzero(kind == _KIND["above"])
+        nodes, at = np.flatnonzero(kind >= 0), np.full(2 << STEP, -1)
+        at[starts[kind[nodes]] + index[nodes] - (group << (STEP - kind[nodes]))] = nodes
+        steps = STEP if len(above) else int(kind[nodes].max(initial=0))
+        own_rows = np.flatnonzero(kind == _KIND["leaf"])
+        asked = np.unique(index[kind == _KIND["asked"]])
+        asked = np.intersect1d(asked, index[own_rows if height == 0 else kind == 0])  # smaller trees end below; places without a leaf have no proof
+        order = own_rows[np.argsort(index[own_rows], kind="stable")]
+        leaf = order[np.searchsorted(index[order], asked)] if height == 0 else np.full(len(asked), -1)
+        own = (asked - (group << STEP))[:, None] >> np.arange(steps)
+        other = at[starts[:steps] + (own ^ 1)]
+        alone = other < 0
+        sibling = np.where(alone, at[starts[:steps] + own], other).ravel()
+        upper = rows.column("proof").combine_chunks().take(pa.array(above[:1])).flatten()
+        n, more = len(asked), len(upper)
+        side = np.where(alone | (own % 2 == 0), "RIGHT", "LEFT").ravel().astype(object)
+        level = np.tile(np.arange(height, height + steps, dtype=np.int32), n)
+        lower = pa.StructArray.from_arrays([pa.array(level), hashes.take(pa.array(sibling, mask=sibling < 0)), pa.array(side, pa.string())], fields=[*_ENTRY])
+        every = pa.concat_arrays([lower, upper.cast(_ENTRY)])
+        places = np.hstack([np.arange(n * steps).reshape(n, steps), np.broadcast_to(n * steps + np.arange(more), (n, more))]).ravel()
+        proof = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (steps + more)), every.take(pa.array(places)))
+        batch = rows.column("batch_number").combine_chunks()
+        return pa.Table.from_arrays([batch.take(pa.array(np.zeros(n, np.int64))), pa.array(asked), hashes.take(pa.array(leaf, mask=leaf < 0)), proof], ["batch_number", "leaf_index", "hash", "proof"])
+
+    return run
+
+
 def proofs(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """For each wanted (batch_number, leaf_index): its hash and ``proof``, the siblings from below (level, hash, side). A node without
-    a sibling has itself on its right."""
+    a sibling has itself on its right.
+
+    Paths are found from the top down, ``STEP`` levels at a time, in groups of 1,024 neighbours: a group's nodes, the places asked for in it and its
+    own path upward meet once. So each node of a wanted group is shuffled once, however many proofs it is part of."""
     nodes = nodes if nodes is not None else tree_nodes(leaves)
-    height = one_a_batch(nodes.groupBy("batch_number").agg(F.max("level").alias("height")), "heights")
-    own = wanted.select("batch_number", "leaf_index").join(leaves, ["batch_number", "leaf_index"]).join(height, "batch_number")
-    steps = own.select("batch_number", "leaf_index", "hash", F.explode_outer(F.when(F.col("height") > 0, F.sequence(F.lit(0), F.col("height") - 1))).alias("step"))
-    at = F.expr("shiftright(leaf_index, step)")
-    steps = steps.withColumn("own_at", at).withColumn("other_at", at.bitwiseXOR(F.lit(1).cast("long")))
-    named = lambda at, as_: nodes.select(F.col("batch_number"), F.col("level").alias("step"), F.col("index").alias(at), F.col("hash").alias(as_))
-    full = steps.join(named("other_at", "sibling"), ["batch_number", "step", "other_at"], "left").join(named("own_at", "own_hash"), ["batch_number", "step", "own_at"], "left")
-    side = F.when(F.col("sibling").isNull() | (F.col("own_at") % 2 == 0), "RIGHT").otherwise("LEFT")
-    entry = F.when(F.col("step").isNotNull(), F.struct(F.col("step").alias("level"), F.coalesce("sibling", "own_hash").alias("hash"), side.alias("side")))
-    return full.groupBy("batch_number", "leaf_index", "hash").agg(F.array_sort(F.collect_list(entry)).alias("proof"))
+    kind = leaves.schema["batch_number"].dataType.simpleString()
+    c, none = F.col, F.lit(None)
+    row = lambda k, index, group, hash_=none, proof=none: [c("batch_number").cast(kind).alias("batch_number"), group.cast("long").alias("group"), k.cast("int").alias("kind"), index.cast("long").alias("index"), hash_.cast("string").alias("hash"), proof.cast(_PROOF_DDL).alias("proof")]
+    most = nodes.agg(F.max("level")).first()[0] or 0
+    place = wanted.select("batch_number", c("leaf_index").cast("long").alias("index"))
+    found = None
+    for height in range(most - most % STEP, -1, -STEP):
+        asked = place if height == 0 else place.select("batch_number", F.shiftright("index", height).alias("index")).distinct()
+        groups = materialised(place.select(c("batch_number").alias("b"), F.shiftright("index", height + STEP).alias("group_")).distinct(), "groups")
+        few = F.broadcast(groups) if groups.count() <= 200_000 else groups
+        up = c("level") - height
+        own = nodes.where((c("level") >= height) & (c("level") < height + STEP)).select(*row(up, c("index"), F.expr(f"shiftright(index, {STEP + height} - level)"), c("hash")))
+        if height == 0:
+            own = own.unionByName(leaves.select(*row(F.lit(_KIND["leaf"]), c("leaf_index"), F.shiftright("leaf_index", STEP), c("hash"))))
+        rows = own.join(few, (c("batch_number") == c("b")) & (c("group") == c("group_")), "left_semi").unionByName(asked.select(*row(F.lit(_KIND["asked"]), c("index"), F.shiftright("index", STEP))).where("`group` IS NOT NULL"))
+        if found is not None:
+            rows = rows.unionByName(found.select(*row(F.lit(_KIND["above"]), c("leaf_index"), c("leaf_index"), proof=c("proof"))))
+        found = rows.groupBy("batch_number", "group").applyInArrow(_climb(height), f"batch_number {kind}, leaf_index long, hash string, proof {_PROOF_DDL}")
+        found = found if height == 0 else materialised(found, "paths")
+    return found
 
 
 def proof_root(leaf: Column, proof: Column) -> Column:
@@ -234,11 +287,12 @@ def proof_root(leaf: Column, proof: Column) -> Column:
 
 
 def verify(proven: DataFrame, sealed: DataFrame) -> DataFrame:
-    """Proofs against the roots of sealed batches, with a status text for each."""
-    joined = proven.join(sealed.select("batch_number", "merkle_root"), "batch_number", "left")
-    good = F.coalesce(proof_root(F.lower("hash"), F.col("proof")) == F.lower("merkle_root"), F.lit(False))
+    """Proofs against the roots of sealed batches, with a status text for each. What a proof gives is worked out before it meets its batch."""
+    given = proven.withColumn("__root", proof_root(F.lower("hash"), F.col("proof")))
+    joined = given.join(one_a_batch(sealed.select("batch_number", "merkle_root"), "sealed-roots"), "batch_number", "left")
+    good = F.coalesce(F.col("__root") == F.lower("merkle_root"), F.lit(False))
     text = F.when(F.col("merkle_root").isNull(), "Batch not found").when(good, "Inclusion proof VERIFIED").otherwise("Inclusion proof FAILED")
-    return joined.withColumn("verified", good).withColumn("status_message", text)
+    return joined.withColumn("verified", good).withColumn("status_message", text).drop("__root")
 
 
 def inclusion(wanted: DataFrame, rows: DataFrame, leaves: DataFrame, sealed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
