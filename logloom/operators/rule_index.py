@@ -19,8 +19,8 @@ from logloom.sources.tables import materialised
 
 GRAM = 3
 _NEEDLES = "field string, key string, modifier string, needle string, needle_no int"
-_USES = "needle_no int, rule_no int, block int, criterion int"
-_RULES = f"rule_no int, found {MATCH}, sizes array<int>, every boolean, parts array<int>, without array<int>"
+_USES = "needle_no int, rule_no int"
+_RULES = f"rule_no int, found {MATCH}, needles array<array<array<int>>>, every boolean, parts array<int>, without array<int>"
 
 
 def _verdict(rule: SigmaRule) -> tuple[bool, list[int], list[int]] | None:
@@ -65,7 +65,8 @@ def _filed(modifier: str, value: str, shared: Counter) -> str:
 
 @dataclass(frozen=True)
 class RuleIndex:
-    """needles and where they are used, rules: written tables. ``fields``: those that rules name, and whether one of their needles is to be contained;
+    """needles, the rules that each of them calls up, rules: written tables. A rule is called up by the criterion of a block whose needles the fewest
+    rules share, as no block holds without all of its criteria. ``fields``: those that rules name, and whether one of their needles is to be contained;
     ``always``: rules that hold where nothing is found."""
 
     needles: DataFrame
@@ -80,9 +81,9 @@ class RuleIndex:
         ``events`` needs the columns of ``normalize``; rows of one event_id are one event. The plan grows with the fields that rules name, not with
         the rules. Hits are shuffled, and not events. Events without an id have no matches; no rules, or no events, give no rows.
         """
-        spark = events.sparkSession
         events = events.where("event_id IS NOT NULL")
-        hits = spark.createDataFrame([], "event_id string, rule_no int, block int, criterion int")
+        none = events.select("event_id", F.lit(None).cast("int").alias("needle_no"))
+        hits = none if self.always else none.limit(0)
         if self.fields:
             asked = F.array(*[F.struct(F.lit(n).alias("field"), value_of(n).alias("value"), F.lit(c).alias("grams")) for n, c in self.fields])
             values = events.select("event_id", F.inline(asked)).where("value IS NOT NULL").withColumn("low", F.lower("value"))
@@ -97,36 +98,46 @@ class RuleIndex:
                 F.when(F.col("modifier") == "exact", low == needle).when(F.col("modifier") == "contains", low.contains(needle)).when(F.col("modifier") == "startswith", low.startswith(needle))
                 .when(F.col("modifier") == "endswith", low.endswith(needle)).otherwise(F.regexp_like("value", needle))
             )
-            hits = near.where(held).select("event_id", "needle_no").join(self.uses, "needle_no").select("event_id", "rule_no", "block", "criterion")
+            hits = hits.unionByName(near.where(held).select("event_id", "needle_no"))
+        # An event's needles meet once, and not once for each rule that shares them; the rules that they call up are tested on them in full.
+        found = hits.groupBy("event_id").agg(F.collect_set("needle_no").alias("held"))
+        called = found.select("event_id", "held", F.explode("held").alias("needle_no")).join(self.uses, "needle_no").select("event_id", "held", "rule_no")
         if self.always:
-            hits = hits.unionByName(events.select("event_id", F.explode(F.array(*map(F.lit, self.always))).alias("rule_no"), F.lit(-1).alias("block"), F.lit(-1).alias("criterion")))
-        found = hits.groupBy("event_id", "rule_no").agg(F.collect_set(F.struct("block", "criterion")).alias("held")).join(self.rules, "rule_no")
-        true = lambda b: F.size(F.filter("held", lambda h: h["block"] == b)) == F.get(F.col("sizes"), b)
+            called = called.unionByName(found.select("event_id", "held", F.explode(F.array(*map(F.lit, self.always))).alias("rule_no")))
+        called = called.join(self.rules, "rule_no")
+        true = lambda b: F.forall(F.get(F.col("needles"), b), lambda c: F.arrays_overlap(c, F.col("held")))
         verdict = F.when(F.col("every"), F.forall("parts", true)).otherwise(F.exists("parts", true)) & ~F.exists("without", true)
-        return found.where(verdict).groupBy("event_id").agg(F.array_sort(F.collect_list("found")).alias("sigma_matches"))
+        matches = called.where(verdict).groupBy("event_id").agg(F.collect_set(F.struct("found", "rule_no")).alias("all"))
+        return matches.select("event_id", F.transform(F.array_sort("all"), lambda x: x["found"]).alias("sigma_matches"))
 
 
 def build(spark: SparkSession, rules: Sequence[SigmaRule]) -> RuleIndex:
     """The index of all enabled rules; patterns that are none match nothing, as ever."""
-    enabled, numbered, uses, kept, always = sorted((r for r in rules if r.enabled), key=lambda r: r.id), {}, [], [], []
+    enabled, numbered, kept, always = sorted((r for r in rules if r.enabled), key=lambda r: r.id), {}, [], []
     for n, r in enumerate(enabled):
         verdict = _verdict(r)
         if verdict is None:
             continue
-        kept.append((n, (r.id, r.title, r.level, r.technique, r.tactic, f"Matched rule {r.title}"), [len(b) for b in r.blocks.values()], *verdict))
         if not verdict[1]:
             always.append(n)
-        for b, block in enumerate(r.blocks.values()):
-            for i, c in enumerate(block):
-                for v in c.values:
-                    if c.modifier != "re" or compiles(v):
-                        needle = (c.field.lower(), c.modifier, f"(?i){v}" if c.modifier == "re" else v.lower())
-                        uses.append((numbered.setdefault(needle, len(numbered)), n, b, i))
+        blocks: list[list[list[int]]] = []
+        for block in r.blocks.values():
+            blocks.append([])
+            for c in block:
+                needles = [(c.field.lower(), c.modifier, f"(?i){v}" if c.modifier == "re" else v.lower()) for v in c.values if c.modifier != "re" or compiles(v)]
+                blocks[-1].append(sorted({numbered.setdefault(x, len(numbered)) for x in needles}))
+        kept.append((n, (r.id, r.title, r.level, r.technique, r.tactic, f"Matched rule {r.title}"), blocks, *verdict))
+    often = Counter(i for rule in kept for i in {x for block in rule[2] for c in block for x in c})
+    rarest = lambda criteria: min(criteria, key=lambda c: sum(often[i] for i in c))
+    uses = set()
+    for n, _, blocks, every, parts, _ in kept:
+        chosen = [rarest(blocks[b]) for b in parts]  # all parts have to hold, or any of them
+        uses |= {(i, n) for c in ([rarest(chosen)] if every and chosen else chosen) for i in c}
     shared = Counter(g for _, modifier, value in numbered if modifier == "contains" for g in _grams(value))
     needles = [(field, _filed(modifier, value, shared), modifier, value, i) for (field, modifier, value), i in numbered.items()]
     fields = {f: any(n[0] == f and n[1].startswith("~") for n in needles) for f in sorted({n[0] for n in needles})}
     written = lambda rows, schema, tag: materialised(spark.createDataFrame(rows, schema), tag)
-    return RuleIndex(written(needles, _NEEDLES, "needles"), written(uses, _USES, "needle-uses"), written(kept, _RULES, "rules"), tuple(fields.items()), tuple(always))
+    return RuleIndex(written(needles, _NEEDLES, "needles"), written(sorted(uses), _USES, "needle-uses"), written(kept, _RULES, "rules"), tuple(fields.items()), tuple(always))
 
 
 def with_matches(normalized: DataFrame, index: RuleIndex) -> DataFrame:
