@@ -16,8 +16,14 @@ def test_a_node_is_shuffled_once(spark):
     leaves = materialised(spark.range(5_000).select(F.lit(1).cast("long").alias("batch_number"), F.col("id").alias("leaf_index"), F.sha2(F.col("id").cast("string"), 256).alias("hash")), "leaves")
     nodes = materialised(lineage.tree_nodes(leaves), "nodes")
     roots = materialised(lineage.roots(leaves, nodes), "roots")
-    before = shuffled(spark)
-    found = lineage.verify(lineage.proofs(leaves, leaves, nodes), roots).agg(F.count(F.when(F.col("verified"), 1)).alias("n"), F.max(F.size("proof")).alias("levels")).first()
+    before, bound = shuffled(spark), {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the leaves were too many to be broadcast
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = lineage.verify(lineage.proofs(leaves, leaves, nodes), roots).agg(F.count(F.when(F.col("verified"), 1)).alias("n"), F.max(F.size("proof")).alias("levels")).first()
+    finally:
+        for c, v in bound.items():
+            spark.conf.set(c, v)
     assert (found.n, found.levels) == (5_000, 13)
     assert shuffled(spark) - before < 6 * 5_000
 
