@@ -158,7 +158,8 @@ def stages(rows: DataFrame) -> DataFrame:
     return rolled
 
 
-def with_status(items: DataFrame, log: DataFrame, key: str) -> DataFrame:
-    """The latest entry of a status log (key, status, at) over the items' own status."""
-    latest = log.groupBy(key).agg(F.max_by("status", "at").alias("logged"))
+def with_status(items: DataFrame, log: DataFrame, key: str | list[str]) -> DataFrame:
+    """The latest entry of a status log (key, status, at) over the items' own status. The key has to be one item's: incidents' and raw lines' short
+    ids can be shared."""
+    latest = log.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by("status", "at").alias("logged"))
     return items.join(latest, key, "left").withColumn("status", F.coalesce("logged", "status")).drop("logged")

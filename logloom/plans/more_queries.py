@@ -121,9 +121,10 @@ def fn_all_extensions(spark, sf_dir):
 def cor6_status_log(spark, sf_dir):
     """Incidents under a status log: all of addresses acknowledged, then those of three tactics closed."""
     found = materialised(correlate.incidents(_detections(spark, sf_dir)), "incidents")
-    first = found.where("key_type = 'IP'").select("incident_key", F.lit("ACKNOWLEDGED").alias("status"), F.lit(1).alias("at"))
-    later = found.where("distinct_tactic_count >= 3").select("incident_key", F.lit("CLOSED").alias("status"), F.lit(2).alias("at"))
-    return correlate.with_status(found.select("incident_key", "status"), first.unionByName(later), "incident_key")
+    entity = ["key_type", "correlation_key"]  # an incident's key has 32 bits, so of many some are shared
+    first = found.where("key_type = 'IP'").select(*entity, F.lit("ACKNOWLEDGED").alias("status"), F.lit(1).alias("at"))
+    later = found.where("distinct_tactic_count >= 3").select(*entity, F.lit("CLOSED").alias("status"), F.lit(2).alias("at"))
+    return correlate.with_status(found.select("incident_key", *entity, "status"), first.unionByName(later), entity).select("incident_key", "status")
 
 
 @query(detected("SELECT incident_key, 'OPEN' AS status, events AS event_count FROM incidents"))
