@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.operators.lineage import STEP, _parents, one_a_batch, proof_root, proofs, tree_nodes
+from logloom.operators.lineage import STEP, _parents, line_key, one_a_batch, proof_root, proofs, tree_nodes
 
 CHUNK = 1 << STEP
 
@@ -27,7 +27,7 @@ def chunks(leaves: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def header(sealed: DataFrame, leaves: DataFrame, rows: DataFrame) -> DataFrame:
     """(batch_number, event_count, merkle_root, period_start, period_end): a batch and the times between which its lines (raw_event_id, received_at)
     came; null where none of them is known."""
-    period = leaves.join(rows.select("raw_event_id", "received_at"), "raw_event_id").groupBy("batch_number").agg(F.min("received_at").alias("period_start"), F.max("received_at").alias("period_end"))
+    period = leaves.join(rows.select(*(key := line_key(leaves, rows)), "received_at"), key).groupBy("batch_number").agg(F.min("received_at").alias("period_start"), F.max("received_at").alias("period_end"))
     return sealed.select("batch_number", "event_count", "merkle_root").join(period, "batch_number", "left")
 
 

@@ -7,6 +7,7 @@ are numbered in (received_at, ingest_seq) order. Levels are built ten at a time,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,17 @@ EMPTY_ROOT = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 STEP = 10  # levels of a group
 
 
+def line_key(*tables: DataFrame) -> list[str]:
+    """What tells raw lines apart in all of these tables. The id alone has 64 bits, half of them from the text, so of many equal lines some share
+    an id; with the line's number, where the tables have it, it is one line's."""
+    return ["raw_event_id", *(["ingest_seq"] if all("ingest_seq" in t.columns for t in tables) else [])]
+
+
 def integrity(normalized: DataFrame, raw: DataFrame) -> DataFrame:
     """Recomputes the hash of each stored event's raw line and holds it against both recorded hashes."""
-    kept = raw.select("raw_event_id", F.col("raw_message").alias("kept_message"), F.col("raw_hash").alias("kept_hash"))
-    joined = normalized.select("event_id", "raw_event_id", "raw_hash", "parser_name", "parser_version").join(kept, "raw_event_id", "left")
+    key = line_key(normalized, raw)
+    kept = raw.select(*key, F.col("raw_message").alias("kept_message"), F.col("raw_hash").alias("kept_hash"))
+    joined = normalized.select("event_id", *key, "raw_hash", "parser_name", "parser_version").join(kept, key, "left")
     again = F.sha2("kept_message", 256)
     verified = F.coalesce((again == F.lower("kept_hash")) & (again == F.lower("raw_hash")), F.lit(False))
     status = (
@@ -30,7 +38,7 @@ def integrity(normalized: DataFrame, raw: DataFrame) -> DataFrame:
         .when(verified, "Integrity verified: the raw line gives the recorded digests")
         .otherwise("Integrity FAILED: the raw line does not give the recorded digests")
     )
-    return joined.select("event_id", "raw_event_id", again.alias("recomputed_hash"), verified.alias("verified"), F.octet_length("kept_message").cast("long").alias("raw_bytes"), status.alias("status_message"), "parser_name", "parser_version")
+    return joined.select("event_id", *key, again.alias("recomputed_hash"), verified.alias("verified"), F.octet_length("kept_message").cast("long").alias("raw_bytes"), status.alias("status_message"), "parser_name", "parser_version")
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
@@ -46,15 +54,16 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], out: str) -> D
     return kept.join(offsets, [*group, "__pid"]).withColumn(out, F.col("__offset") + F.col("__at") - F.col("__first")).select(*rows.columns, out)
 
 
-def seal(raw: DataFrame, sealed: DataFrame | None = None, batch_number: int | None = None) -> DataFrame:
-    """Leaves (batch_number, leaf_index, raw_event_id, hash) of a batch of all raw events that no sealed batch holds.
+def seal(raw: DataFrame, sealed: DataFrame | None = None, batch_number: int | None = None, by: Sequence[str] = ("raw_event_id",)) -> DataFrame:
+    """Leaves (batch_number, leaf_index, raw_event_id, hash, ingest_seq) of a batch of all raw events that no sealed batch holds. Lines are told
+    apart ``by`` their ids; where numbers stay the same from batch to batch, by ``line_key``, since ids can be shared.
 
     The order is total, so it is the same on every run."""
     if sealed is not None:
-        raw = raw.join(sealed.select("raw_event_id"), "raw_event_id", "left_anti")
+        raw = raw.join(sealed.select(*by), [*by], "left_anti")
         batch_number = batch_number or (sealed.agg(F.max("batch_number")).first()[0] or 0) + 1
     rows = raw.select(F.lit(batch_number or 1).cast("long").alias("batch_number"), "received_at", "ingest_seq", "raw_event_id", F.col("raw_hash").alias("hash"))
-    return numbered(rows, ["batch_number"], ["received_at", "ingest_seq", "raw_event_id"], "leaf_index").select("batch_number", "leaf_index", "raw_event_id", "hash")
+    return numbered(rows, ["batch_number"], ["received_at", "ingest_seq", "raw_event_id"], "leaf_index").select("batch_number", "leaf_index", "raw_event_id", "hash", "ingest_seq")
 
 
 def one_a_batch(rows: DataFrame, tag: str) -> DataFrame:
@@ -198,8 +207,9 @@ def totals(sealed: DataFrame) -> DataFrame:
 
 def leaf_records(leaves: DataFrame, normalized: DataFrame) -> DataFrame:
     """Each leaf with the line it stands for, and the event that was stored of it, if one was."""
-    kept = normalized.select("raw_event_id", "raw_message", F.when(F.col("outcome.code") == "NORMAL", F.col("event_id")).alias("event_id"), "parser_name")
-    return leaves.join(kept, "raw_event_id", "left").select("batch_number", "leaf_index", "hash", "raw_event_id", "raw_message", "event_id", "parser_name")
+    key = line_key(leaves, normalized)
+    kept = normalized.select(*key, "raw_message", F.when(F.col("outcome.code") == "NORMAL", F.col("event_id")).alias("event_id"), "parser_name")
+    return leaves.join(kept, key, "left").select("batch_number", "leaf_index", "hash", *key, "raw_message", "event_id", "parser_name")
 
 
 def proofs_by_hash(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

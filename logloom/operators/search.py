@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logloom.operators.lineage import line_key
+
 
 def where_given(df: DataFrame, *tests: tuple[object, Column]) -> DataFrame:
     """Only the filters whose argument is given reach the plan, and with it the scan."""
@@ -63,8 +65,9 @@ def since(events: DataFrame, start: datetime, parser: str | None = None) -> Data
 
 def with_raw(events: DataFrame, raw: DataFrame) -> DataFrame:
     """Each event with its raw line, where that is kept."""
-    kept = raw.select("raw_event_id", F.col("raw_message").alias("stored_message"), F.col("raw_hash").alias("stored_hash"))
-    return events.join(kept, "raw_event_id", "left")
+    key = line_key(events, raw)
+    kept = raw.select(*key, F.col("raw_message").alias("stored_message"), F.col("raw_hash").alias("stored_hash"))
+    return events.join(kept, key, "left")
 
 
 def incident_details(members: DataFrame, events: DataFrame, alerts: DataFrame) -> DataFrame:

@@ -104,8 +104,8 @@ def mrk3_proof_by_hash(spark, sf_dir):
 def lin2_tampered_lines(spark, sf_dir):
     """Every 97th kept line was changed."""
     rows = normalized(spark, sf_dir)
-    raw = rows.select("raw_event_id", F.when(F.col("ingest_seq") % 97 == 5, F.concat("raw_message", F.lit(" "))).otherwise(F.col("raw_message")).alias("raw_message"), "raw_hash")
-    told = lineage.integrity(events(rows), raw).join(rows.select("event_id", "ingest_seq"), "event_id")
+    raw = rows.select("raw_event_id", "ingest_seq", F.when(F.col("ingest_seq") % 97 == 5, F.concat("raw_message", F.lit(" "))).otherwise(F.col("raw_message")).alias("raw_message"), "raw_hash")
+    told = lineage.integrity(events(rows), raw)
     return told.select(seq(), "verified", F.regexp_extract("status_message", r"^(Integrity \w+)", 1).alias("status"))
 
 
@@ -113,7 +113,7 @@ def lin2_tampered_lines(spark, sf_dir):
 def jon2_leaf_records(spark, sf_dir):
     rows = normalized(spark, sf_dir)
     leaves = lineage.seal(rows.select("received_at", "ingest_seq", "raw_event_id", "raw_hash"))
-    found = lineage.leaf_records(leaves, rows).join(rows.select("raw_event_id", "ingest_seq"), "raw_event_id")
+    found = lineage.leaf_records(leaves, rows)
     return found.select(seq(), "leaf_index", "hash", F.col("raw_message").alias("stored_line"), F.col("event_id").alias("event_uid"))
 
 
@@ -122,7 +122,7 @@ def mrk5_second_batch(spark, sf_dir):
     """Half of the lines are sealed already; the next batch holds the other half."""
     rows = normalized(spark, sf_dir).select("received_at", "ingest_seq", "raw_event_id", "raw_hash")
     first = materialised(lineage.seal(rows.where(F.col("ingest_seq") % 2 == 0)), "sealed")
-    both = first.unionByName(lineage.seal(rows, first))
+    both = first.unionByName(lineage.seal(rows, first, by=lineage.line_key(rows, first)))
     return both.groupBy("batch_number").agg(F.count("*").alias("event_count"), F.count_distinct("hash").alias("hashes"))
 
 

@@ -124,9 +124,9 @@ def mrk6_inclusion(spark, sf_dir):
 def dlq5_status_log(spark, sf_dir):
     """Quarantined lines under a status log: two thirds were tried again, half of these are resolved since."""
     failed = quarantine(normalized(spark, sf_dir))
-    entry = lambda rows, status, at: rows.select("raw_event_id", F.lit(status).alias("status"), F.lit(at).alias("at"))
+    entry = lambda rows, status, at: rows.select("raw_event_id", "ingest_seq", F.lit(status).alias("status"), F.lit(at).alias("at"))
     log = entry(failed.where("ingest_seq % 3 < 2"), "RETRIED", 1).unionByName(entry(failed.where("ingest_seq % 3 = 0"), "RESOLVED", 2))
-    return correlate.with_status(failed.select(seq(), "raw_event_id", "status"), log, "raw_event_id").select("seq", "status")
+    return correlate.with_status(failed.select("ingest_seq", "raw_event_id", "status"), log, lineage.line_key(failed, log)).select(seq(), "status")
 
 
 @query(expected("SELECT parser_name, CASE WHEN parser_name = 'json_generic_parser' THEN 0.95 ELSE max(confidence) END AS baseline FROM n GROUP BY parser_name"))

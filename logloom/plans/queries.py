@@ -193,15 +193,15 @@ def srt3_event_page(spark, sf_dir):
 @query(expected("SELECT seq, raw_uid, hash AS recomputed_hash, true AS verified, CAST(octet_length(encode(raw)) AS BIGINT) AS raw_bytes FROM n"))
 def lin2_integrity(spark, sf_dir):
     rows = normalized(spark, sf_dir)
-    raw = rows.select("raw_event_id", "raw_message", "raw_hash")
-    found = lineage.integrity(events(rows), raw).join(rows.select("event_id", "ingest_seq"), "event_id")
+    raw = rows.select("raw_event_id", "ingest_seq", "raw_message", "raw_hash")
+    found = lineage.integrity(events(rows), raw)
     return found.select(seq(), F.col("raw_event_id").alias("raw_uid"), "recomputed_hash", "verified", "raw_bytes")
 
 
 @query(expected("SELECT seq, raw AS stored_message, code FROM n"))
 def jon1_event_with_raw(spark, sf_dir):
     rows = normalized(spark, sf_dir)
-    return search.with_raw(events(rows), rows.select("raw_event_id", "raw_message", "raw_hash")).select(seq(), "stored_message", F.col("outcome.code").alias("code"))
+    return search.with_raw(events(rows), rows.select("raw_event_id", "ingest_seq", "raw_message", "raw_hash")).select(seq(), "stored_message", F.col("outcome.code").alias("code"))
 
 
 def _batches(spark, sf_dir) -> DataFrame:
