@@ -306,9 +306,11 @@ def verify(proven: DataFrame, sealed: DataFrame) -> DataFrame:
 
 
 def inclusion(wanted: DataFrame, rows: DataFrame, leaves: DataFrame, sealed: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, batch_number, leaf_index, verified, status_message) for wanted ids, which may be those of events or of raw lines."""
-    known = rows.select(F.explode(F.array_compact(F.array("event_id", "raw_event_id"))).alias("id"), "raw_event_id")
-    found = wanted.select("id").join(known, "id", "left").join(leaves.select("raw_event_id", "batch_number", "leaf_index"), "raw_event_id", "left")
+    """(id, batch_number, leaf_index, verified, status_message) for wanted ids, which may be those of events or of raw lines, each once; a raw id that
+    lines share has a row for each of them."""
+    key = line_key(rows, leaves)
+    known = rows.select(F.explode(F.array_compact(F.array("event_id", "raw_event_id"))).alias("id"), *key)
+    found = wanted.select("id").distinct().join(known, "id", "left").join(leaves.select(*key, "batch_number", "leaf_index"), key, "left")
     places = found.where("leaf_index is not null").select("batch_number", "leaf_index").distinct()
     proven = verify(proofs(leaves.select("batch_number", "leaf_index", "hash"), places, nodes), sealed).select("batch_number", "leaf_index", "verified", "status_message")
     joined = found.join(proven, ["batch_number", "leaf_index"], "left")
