@@ -433,6 +433,8 @@ def str1_stream_normalize(spark, sf_dir):
     gateway.run(stream, f"{folder}/out", f"{folder}/checkpoint", available_now=True).awaitTermination()
     code = lambda df, c: df.select(c.alias("code"), "format")
     stored_ = spark.read.parquet(f"{folder}/out/events")
-    failed = spark.read.parquet(f"{folder}/out/quarantine").join(spark.read.parquet(f"{folder}/out/normalized").select("raw_event_id", "format"), "raw_event_id")
+    failed, every = spark.read.parquet(f"{folder}/out/quarantine"), spark.read.parquet(f"{folder}/out/normalized")
+    key = lineage.line_key(failed, every)
+    failed = failed.join(every.select(*key, "format"), key)
     both = code(stored_, F.col("outcome.code")).unionByName(code(failed, F.col("failure_code")))
     return both.groupBy("code", "format").agg(F.count("*").alias("n"))
