@@ -172,8 +172,8 @@ class _Entity(StatefulProcessor):
         self._told = handle.getValueState("told", "active boolean")
 
     def _since(self, timers) -> int:
-        """The first second of the window: the watermark, or the clock less the window."""
-        return timers.getCurrentWatermarkInMs() // 1000 if self._event_time else timers.getCurrentProcessingTimeInMs() // 1000 - self._window
+        """The first second of the window: the one after the watermark, whose own rows Spark takes as late, or the clock less the window."""
+        return timers.getCurrentWatermarkInMs() // 1000 + 1 if self._event_time else timers.getCurrentProcessingTimeInMs() // 1000 - self._window
 
     def _step(self, key, new, timers) -> Iterator[Row]:
         since = self._since(timers)
@@ -183,7 +183,8 @@ class _Entity(StatefulProcessor):
                 held[second] = _merged(held.get(second), part)
         self._kept.put([(s, *held[s]) for s in sorted(held)]) if held else self._kept.clear()
         if held:  # fires when the oldest second lies before the window
-            self._handle.registerTimer(1000 * (min(held) + 1 + (0 if self._event_time else self._window)))
+            # By event time at a watermark of that second itself: watermarks are whole seconds, and a timer of just that moment would wait for the next.
+            self._handle.registerTimer(1000 * min(held) - 1 if self._event_time else 1000 * (min(held) + 1 + self._window))
         whole = None
         for part in held.values():
             whole = _merged(whole, part)
@@ -219,7 +220,7 @@ def running_incidents(detections: DataFrame, minutes: int = 30, event_time: bool
     parts = rows.mapInArrow(_task_parts, _PARTS_DDL)
     mode = "ProcessingTime"
     if event_time:
-        parts, mode = parts.withWatermark("second", f"{minutes} minutes"), "EventTime"
+        parts, mode = parts.withWatermark("second", f"{60 * minutes + 1} seconds"), "EventTime"
     sums = parts.groupBy("key_type", "key").transformWithState(_Entity(60 * minutes, event_time), _SUMS, "Update", mode)
     return correlate.told(sums.withColumn("root", F.struct(F.col("root").alias("event_id"))), "active", "since")
 
