@@ -4,7 +4,7 @@ Words and punctuation runs, and pairs of neighbours, are hashed into ``BUCKETS``
 counted: one over trusted documents, one over all documents. A document's score is the mean, over
 its n-grams, of log p(trusted) - log p(raw). Every document is held against one threshold, which separates labelled documents
 best: the ones of low quality from trusted ones that the counts don't include, since a document scores higher for
-being counted. Base rules on counts come first.
+being counted. All labels are used, in joins and running totals. Base rules on counts come first.
 """
 
 from __future__ import annotations
@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from logloom.llm._spark import text_rows, written
+from logloom.llm._scan import running_totals
+from logloom.llm._spark import small, text_rows, written
 
 BUCKETS = 1 << 14
-SAMPLE = 20_000  # labelled rows of either kind, at most, that the trusted counts and the threshold are fitted on
+SAMPLE = 20_000  # ids that the tests look at; `assess` has no such bound
+BROADCAST = 100_000  # labelled ids that are broadcast at most; more are joined by a shuffle, with the same result
 FEW_WORDS = 50
 REPEATED = 50  # percent
 SMOOTHING = 1.0
@@ -108,28 +110,40 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _sample(labels: DataFrame, trusted: bool, most: int) -> list[int]:
-    """At most ``most`` labelled ids, the first by hash."""
+def _ids(labels: DataFrame, trusted: bool) -> DataFrame:
+    """The distinct ids of trusted rows, or of rows of low quality."""
     if trusted:
         wanted = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
     else:
         wanted = F.col("quality") == 0
-    ids = labels.where(wanted & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    return labels.where(wanted & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def _sample(labels: DataFrame, trusted: bool, most: int) -> list[int]:
+    """At most ``most`` labelled ids, the first by hash, as tests see the order that ``halves`` goes by."""
+    return [r.doc_id for r in _ids(labels, trusted).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+
 
+def halves(labels: DataFrame) -> DataFrame:
+    """(doc_id, counted): every trusted id; by hash, every other one is counted and the rest are held out."""
+    ids = _ids(labels, True).select("doc_id", F.xxhash64("doc_id").alias("__hash"), F.lit(1).cast("long").alias("__one"))
+    placed = running_totals(ids, [], ["__hash", "doc_id"], "__one", "__place")
+    return written(placed.select("doc_id", (F.col("__place") % 2 == 0).alias("counted")), "trusted")
 
-def count_ngrams(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, target): counts over all documents, and over the trusted ones. Each task adds up what it reads."""
-    ids = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
+
+def count_ngrams(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, raw, target): counts over all documents, and over those whose id is in ``trusted`` (doc_id, distinct). Each task adds up what it reads."""
+    marks = small(trusted.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__trusted")), BROADCAST)
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(marks, "__id", "left").select("__text", "__trusted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, raw, target = _Hashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for part in text_rows(batches):
             of_raw, of_target = [], []
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for text, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 found = [*ngram_buckets(text or "", known, buckets)]
                 of_raw += found
-                if doc in ids.value:
+                if own:
                     of_target += found
             if of_raw:
                 raw += np.bincount(np.concatenate(of_raw), minlength=buckets)
@@ -138,7 +152,7 @@ def count_ngrams(docs: DataFrame, trusted: list[int], buckets: int = BUCKETS, id
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
-    counts = docs.select(id_col, text_col).mapInArrow(run, "bucket long, raw long, target long")
+    counts = marked.mapInArrow(run, "bucket long, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -174,6 +188,19 @@ def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(values[best]) if best == 0 else float((values[best - 1] + values[best]) / 2)
 
 
+def cut(scores: DataFrame) -> float:
+    """``threshold`` of a table (good boolean, score double) of any size. With the scores below a cut summed up, a bad one for as much as there
+    are good ones and a good one for minus as much as there are bad ones, the best cut has the largest sum: whole numbers, so equals are equal."""
+    n = scores.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).first()
+    if not n.good or not n.bad:
+        return -np.inf
+    steps = scores.groupBy("score").agg((F.count_if(~F.col("good")) * n.good - F.count_if("good") * n.bad).alias("step"))
+    gains = written(running_totals(steps, [], ["score"], "step", "gain"), "gains")
+    best = gains.orderBy(F.desc("gain"), "score").first().score
+    below = gains.where(F.col("score") < best).agg(F.max("score")).first()[0]
+    return best if below is None else (below + best) / 2
+
+
 SCORED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
 
 
@@ -198,27 +225,27 @@ def scored(docs: DataFrame, ratios: np.ndarray | None, id_col: str = "doc_id", t
     return given.mapInArrow(run, schema)
 
 
-def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, sample: int = SAMPLE, whole: bool = False) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, whole: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, the base counts, score, base_failed and kept; with ``whole`` also the row's own
     columns, named by their places (__0, __1 and so on).
 
-    ``labels`` (doc_id, quality, toxic) gives at most ``sample`` trusted ids (quality 1, not toxic), of which every other one is
-    counted and the rest are held out for the threshold, and as many of quality 0; counts and scores cover all documents. Null ids are scored and never trusted. Null and empty texts have
+    ``labels`` (doc_id, quality, toxic) gives trusted ids (quality 1, not toxic), of which every other one is counted and the rest are held
+    out for the threshold, and those of quality 0; all of them are used, and counts and scores cover all documents. Null ids are scored and never trusted. Null and empty texts have
     no words, so they fail the base rules. Without usable labels the base rules decide alone. Repeated rows give
     repeated results; an empty table gives no rows; other columns are ignored.
     """
-    good, bad = _sample(labels, True, sample), _sample(labels, False, sample)
-    counted, held = good[::2], good[1::2]
-    ratios = log_ratios(count_ngrams(docs, counted, buckets, id_col, text_col), buckets) if counted else None
+    trusted = halves(labels)
+    counted = trusted.where("counted")
+    ratios = None if counted.isEmpty() else log_ratios(count_ngrams(docs, counted, buckets, id_col, text_col), buckets)
     rows = written(scored(docs, ratios, id_col, text_col, whole), "scored")
-    cut = -np.inf
+    least = -np.inf
     if ratios is not None:
-        spark = docs.sparkSession
-        known = spark.createDataFrame([(i, 1) for i in held] + [(i, 0) for i in bad], "doc_id long, good int")
-        pairs = rows.where(f"n_words >= {FEW_WORDS}").join(F.broadcast(known), "doc_id").select("good", "score").collect()
-        cut = threshold(np.array([r.score for r in pairs if r.good]), np.array([r.score for r in pairs if not r.good]))
+        held = trusted.where("not counted").select("doc_id", F.lit(True).alias("good"))
+        known = written(held.unionByName(_ids(labels, False).withColumn("good", F.lit(False))), "known")
+        told = rows.where(f"n_words >= {FEW_WORDS}").select("doc_id", "score").join(small(known, BROADCAST), "doc_id")
+        least = cut(written(told.select("good", "score"), "told"))
     failed = (F.col("n_words") < FEW_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= cut))
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= least))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
