@@ -12,12 +12,18 @@ _SPACES = "".join(map(chr, range(0x21)))
 
 def strip(x: Column) -> Column:
     """Without leading and trailing characters up to U+0020 (tabs and control characters too)."""
-    return F.btrim(x, F.lit(_SPACES))
+    # Trimming by a set costs far more than a look at both ends, and most texts have nothing to trim.
+    return F.when((x >= "!") & (F.substring(x, -1, 1) >= "!"), x).otherwise(F.btrim(x, F.lit(_SPACES)))
+
+
+def has_text(x: Column) -> Column:
+    """Whether there is more than white space; null for null."""
+    return F.when(x >= "!", True).otherwise(x.rlike(r"\S"))  # no pattern where the first character says it
 
 
 def blank(x: Column) -> Column:
     """Null, empty or white space."""
-    return F.coalesce(~x.rlike(r"\S"), F.lit(True))
+    return F.coalesce(~has_text(x), F.lit(True))
 
 
 def whole(pattern: str, flags: str = "") -> str:
@@ -37,6 +43,12 @@ def matched(x: Column, pattern: str, flags: str = "") -> Column:
     return F.replace(x, F.lit(SEP[-1]), F.lit(" ")).rlike(whole(pattern, flags))
 
 
+def those(kind: str, *given: tuple[Column | None, Column]) -> Column:
+    """The values, of the type ``kind``, whose condition holds (None: always), as an array. Unlike a filter of an array, this is compiled with its conditions."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(none, *[F.array(v) if c is None else F.when(c, F.array(v)).otherwise(none) for c, v in given])
+
+
 def nonempty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 

@@ -26,10 +26,10 @@ def json_envelope(line: Column) -> Column:
     return (line.startswith("{") & line.endswith("}")) | (line.startswith("[") & line.endswith("]"))
 
 
-def classify(raw: Column) -> Column:
+def classify(raw: Column, stripped: Column | None = None) -> Column:
     """A struct (format, confidence, signature, details) for a raw line. Tests run in a fixed order; each is on the entire
-    stripped line, and ``.`` stops at line ends. A null or blank line is UNKNOWN with confidence zero."""
-    line = strip(raw)
+    stripped line, which may be given as a column that is made already, and ``.`` stops at line ends. A null or blank line is UNKNOWN with confidence zero."""
+    line = strip(raw) if stripped is None else stripped
     named = {
         k: F.struct(F.lit(f).alias("format"), F.lit(c).alias("confidence"), F.lit(s).alias("signature"), F.lit(d).alias("details"))
         for k, (f, c, s, d) in FORMATS.items()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from logloom.functions.text import to_map
+from logloom.functions.text import those, to_map
 
 FIELDS = {
     "timestamp_text": "string", "category": "string", "type": "string", "action": "string", "severity": "string", "severity_id": "int", "message": "string",
@@ -32,8 +32,7 @@ def failed(message: str) -> Column:
 def confidences(*pairs: tuple[str, int, Column | None]) -> Column:
     """Confidence, in hundredths, of each field whose condition holds (None: always)."""
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), F.lit(v).alias("value"))
-    found = F.array(*[entry(k, v) if c is None else F.when(c, entry(k, v)) for k, v, c in pairs])
-    return F.map_from_entries(F.filter(found, lambda x: x.isNotNull()))
+    return F.map_from_entries(those("struct<key:string,value:int>", *[(c, entry(k, v)) for k, v, c in pairs]))
 
 
 class Work:

@@ -16,6 +16,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.text import has_text, those
 from logloom.sources.tables import current, upsert, version
 
 MODIFIERS = ("contains", "startswith", "endswith", "re")
@@ -123,7 +124,7 @@ def value_of(name: str) -> Column:
     if alias:
         tries.append(F.col(CANONICAL[alias]).cast("string"))
     value = F.coalesce(*tries)
-    there = value.rlike(r"\S")
+    there = has_text(value)
     if name in ("message", "raw", "keywords", "payload"):
         return F.when(there, value).otherwise(F.coalesce(F.col("raw.message"), F.lit("")))
     return F.when(there, value)
@@ -213,8 +214,8 @@ def evaluate(rules: list[SigmaRule] | tuple[SigmaRule, ...] = RULES) -> Column:
     for r in sorted((r for r in rules if r.enabled), key=lambda r: r.id):
         values = (r.id, r.title, r.level, r.technique, r.tactic, f"Matched rule {r.title}")
         names = [x.split(":")[0] for x in MATCH[7:-1].split(",")]
-        found.append(F.when(condition(r), F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, values, strict=True)])))
-    return F.filter(F.array(*found), lambda m: m.isNotNull()) if found else F.array().cast(f"array<{MATCH}>")
+        found.append((condition(r), F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(names, values, strict=True)])))
+    return those(MATCH, *found)
 
 
 def alerts(normalized: DataFrame) -> DataFrame:

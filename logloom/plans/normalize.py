@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.text import blank, internal, strip
+from logloom.functions.text import blank, internal, strip, those
 from logloom.operators import parser_index, sigma
 from logloom.operators.classify import classify
 from logloom.operators.enrich import service, technique
@@ -47,12 +47,12 @@ def valid_ip(ip: Column) -> Column:
 
 def validation_errors() -> Column:
     """What is wrong with an event, as an array."""
-    missing = [F.when(blank(F.col(c)), F.lit(f"Missing required {n}")) for c, n in (("event_id", "eventId"), ("raw_event_id", "rawEventId"), ("raw_hash", "rawHashSha256"), ("timestamp_text", "timestampUtc"))]
+    missing = [(blank(F.col(c)), F.lit(f"Missing required {n}")) for c, n in (("event_id", "eventId"), ("raw_event_id", "rawEventId"), ("raw_hash", "rawHashSha256"), ("timestamp_text", "timestampUtc"))]
     bad = [
-        F.when(F.col(f"{side}.ip").isNotNull() & ~valid_ip(F.col(f"{side}.ip")), F.concat(F.lit(f"Invalid {side} IP format: "), F.col(f"{side}.ip")))
+        (F.col(f"{side}.ip").isNotNull() & ~valid_ip(F.col(f"{side}.ip")), F.concat(F.lit(f"Invalid {side} IP format: "), F.col(f"{side}.ip")))
         for side in ("source", "destination")
     ]
-    return F.filter(F.array(*missing, *bad), lambda e: e.isNotNull())
+    return those("string", *missing, *bad)
 
 
 def _hex_id(*parts: Column) -> Column:
@@ -97,7 +97,8 @@ def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[P
     chosen = sorted((p for p in dynamic if p.active), key=lambda p: p.name)
     parsers = [*chosen, *[p for p in NATIVE if p.active]]
     raw_line, line, received = F.col("raw_message"), F.col("line"), F.col("received_at")
-    steps.add({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line), "class": classify(raw_line)})
+    steps.add({"received_at": received.cast("timestamp"), "raw_hash": raw_hash(raw_line), "line": strip(raw_line)})
+    steps.add({"class": classify(raw_line, line)})
     fmt = F.coalesce(F.col("class.format"), F.lit("UNKNOWN"))
     route = F.when(raw_line.isNull(), -1)
     for i, p in enumerate(parsers):
