@@ -150,40 +150,74 @@ def templates(mined: DataFrame) -> DataFrame:
     return mined.groupBy("cluster", "template").agg(F.count("*").alias("lines"))
 
 
+def _bound(x: Column, f) -> Column:
+    """``f`` of a name for ``x``, which is worked out once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _clean(t: Column) -> Column:
+    return F.when(t.rlike(r"""[\[\](),"'; ]"""), F.trim(F.regexp_replace(t, r"""[\[\](),"';]""", ""))).otherwise(t)
+
+
+def _pair_key(clean: Column) -> Column:
+    return F.when(clean.contains("="), F.lower(F.substring_index(clean, "=", 1)))
+
+
+def _kind(i: Column, before: Column, clean: Column, up: Column, low: Column) -> Column:
+    """Type, field, confidence and value of a token at place ``i``: cleaned, in capitals, with its key as a pair, after the token ``before``. Patterns
+    are tried only where a plain character that they need is there."""
+    far = (i > 5) | F.lower(before).contains("dst")
+    far_pair = (i > 5) | (F.lower(before) == "dst")
+    side = lambda test, what: F.when(test, f"destination.{what}").otherwise(f"source.{what}")
+    made = lambda type_, path, sure, value: F.struct(F.lit(type_).alias("type"), (path if isinstance(path, Column) else F.lit(path)).alias("path"), F.lit(sure).alias("confidence"), value.alias("value"))
+    value = F.regexp_replace(clean, r"\A[^=]*=", "")
+    pair = made("KEY_VALUE", F.concat(F.lit("extensions."), low), 0.85, value)
+    for keys, (type_, path, sure) in KEYS.items():
+        v = F.upper(value) if type_ == "PROTOCOL" else normal_action(value) if type_ == "ACTION" else value
+        pair = F.when(low.isin(*keys), made(type_, path, sure, v)).otherwise(pair)
+    here = F.concat(F.lit("extensions.token_"), i.cast("string"))
+    ip_port = r"\A(?:[a-zA-Z0-9_-]+:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})[/:](\d{1,5})\z"
+    dotted, digit = clean.contains("."), (clean >= "0") & (clean < ":")
+    return (
+        F.when(low.isNotNull() & clean.rlike(r"\A[^=]*=."), pair)
+        .when(dotted & clean.rlike(ip_port), made("IP_PORT_PAIR", side(far_pair, "ip"), 0.98, F.regexp_extract(clean, ip_port, 1)))
+        .when(dotted & digit & clean.rlike(r"\A(?:\d{1,3}\.){3}\d{1,3}\z"), made("IPV4", side(far, "ip"), 0.99, clean))
+        .when(up.isin(*PROTOCOLS), made("PROTOCOL", "network.protocol", 0.98, up))
+        .when(up.isin(*ACTIONS), made("ACTION", "event.action", 0.96, normal_action(up)))
+        .when(up.isin(*SEVERITIES), made("SEVERITY", "event.severity", 0.92, F.lower(up)))
+        .when(digit & clean.rlike(r"\A\d+\z") & clean.try_cast("int").between(1, 65535), made("PORT", side(far, "port"), 0.92, clean))
+        .when(digit & clean.contains(":") & clean.rlike(r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\z"), made("TIMESTAMP", "timestampUtc", 0.95, clean))
+        .when(clean.contains("-") & clean.rlike(r"\A%?[A-Z0-9]+-\d+-\d+\z"), made("VENDOR_CODE", "extensions.vendorCode", 0.95, clean))
+        .otherwise(made("STRING", here, 0.60, clean))
+    )
+
+
+def _placed(toks: Column, f) -> Column:
+    """``f`` of each token, its place and the token before it."""
+    return _bound(toks, lambda ts: F.transform(ts, lambda t, i: f(t, i, F.coalesce(F.get(ts, i - 1), F.lit("")))))
+
+
 def typed(toks: Column) -> Column:
     """Each token's position, slot, type, field, confidence and value; what looks like nothing is a STRING of 0.60. Numbers over 32
     bits are no ports but strings."""
 
-    def kind(t: Column, i: Column) -> Column:
-        clean = F.trim(F.regexp_replace(t, r"""[\[\](),"';]""", ""))
-        up, low = F.upper(clean), F.lower(F.substring_index(clean, "=", 1))
-        before = F.coalesce(F.get(toks, i - 1), F.lit(""))
-        far = (i > 5) | F.lower(before).contains("dst")
-        far_pair = (i > 5) | (F.lower(before) == "dst")
-        side = lambda test, what: F.when(test, f"destination.{what}").otherwise(f"source.{what}")
-        made = lambda type_, path, sure, value: F.struct(F.lit(type_).alias("type"), (path if isinstance(path, Column) else F.lit(path)).alias("path"), F.lit(sure).alias("confidence"), value.alias("value"))
-        value = F.regexp_replace(clean, r"\A[^=]*=", "")
-        pair = made("KEY_VALUE", F.concat(F.lit("extensions."), low), 0.85, value)
-        for keys, (type_, path, sure) in KEYS.items():
-            v = F.upper(value) if type_ == "PROTOCOL" else normal_action(value) if type_ == "ACTION" else value
-            pair = F.when(low.isin(*keys), made(type_, path, sure, v)).otherwise(pair)
-        here = F.concat(F.lit("extensions.token_"), i.cast("string"))
-        ip_port = r"\A(?:[a-zA-Z0-9_-]+:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})[/:](\d{1,5})\z"
-        found = (
-            F.when(clean.rlike(r"\A[^=]*=."), pair)
-            .when(clean.rlike(ip_port), made("IP_PORT_PAIR", side(far_pair, "ip"), 0.98, F.regexp_extract(clean, ip_port, 1)))
-            .when(clean.rlike(r"\A(?:\d{1,3}\.){3}\d{1,3}\z"), made("IPV4", side(far, "ip"), 0.99, clean))
-            .when(up.isin(*PROTOCOLS), made("PROTOCOL", "network.protocol", 0.98, up))
-            .when(up.isin(*ACTIONS), made("ACTION", "event.action", 0.96, normal_action(up)))
-            .when(up.isin(*SEVERITIES), made("SEVERITY", "event.severity", 0.92, F.lower(up)))
-            .when(clean.rlike(r"\A\d+\z") & clean.try_cast("int").between(1, 65535), made("PORT", side(far, "port"), 0.92, clean))
-            .when(clean.rlike(r"\A\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\z"), made("TIMESTAMP", "timestampUtc", 0.95, clean))
-            .when(clean.rlike(r"\A%?[A-Z0-9]+-\d+-\d+\z"), made("VENDOR_CODE", "extensions.vendorCode", 0.95, clean))
-            .otherwise(made("STRING", here, 0.60, clean))
-        )
-        return F.struct(i.alias("position"), F.concat(F.lit("token"), i.cast("string")).alias("slot"), found["type"].alias("type"), found["path"].alias("path"), found["confidence"].alias("confidence"), found["value"].alias("value"), t.alias("sample"))
-
-    return F.transform(toks, kind)
+    def told(t: Column, i: Column, found: Column) -> Column:
+        return F.struct(i.alias("position"), F.concat(F.lit("token"), i.cast("string")).alias("slot"), *[found[c].alias(c) for c in ("type", "path", "confidence", "value")], t.alias("sample"))
+
+    def kind(t: Column, i: Column, before: Column) -> Column:
+        forms = lambda c: F.struct(c.alias("clean"), F.upper(c).alias("up"), _pair_key(c).alias("low"))
+        found = _bound(_bound(_clean(t), forms), lambda x: _kind(i, before, x["clean"], x["up"], x["low"]))
+        return _bound(found, lambda x: told(t, i, x))
+
+    return _placed(toks, kind)
+
+
+def token_types(lines: DataFrame, raw: str = "raw_message") -> DataFrame:
+    """(position, type, path, confidence, value): ``typed`` of all tokens, one a row, in compiled code."""
+    placed = _placed(tokens(F.col(raw)), lambda t, i, before: F.struct(i.alias("position"), t.alias("token"), before.alias("before")))
+    rows = lines.select(F.inline(placed)).withColumn("clean", _clean(F.col("token")))
+    rows = rows.withColumns({"up": F.upper("clean"), "low": _pair_key(F.col("clean"))})
+    return rows.select("position", _kind(*map(F.col, ("position", "before", "clean", "up", "low"))).alias("found")).select("position", "found.*")
 
 
 def pattern(template: Column) -> Column:

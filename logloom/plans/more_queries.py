@@ -100,8 +100,7 @@ def sig5_conditions(spark, sf_dir):
 @query()
 def inf6_all_token_types(spark, sf_dir):
     """The types of all tokens of all lines."""
-    toks = raw_logs(spark, sf_dir).select(F.explode(infer.typed(infer.tokens(F.col("raw_message")))).alias("t"))
-    return toks.groupBy("t.position", "t.type", "t.path", "t.confidence").agg(F.count("*").alias("n"))
+    return infer.token_types(raw_logs(spark, sf_dir)).groupBy("position", "type", "path", "confidence").agg(F.count("*").alias("n"))
 
 
 @query()
