@@ -129,20 +129,38 @@ def mine(lines: DataFrame, raw: str = "raw_message", order: str = "ingest_seq")
     (the line with its variables taken out) goes there once, with the first line that has it, and only templates are kept in
     memory. Later lines of the shape join that line's cluster. Null and blank lines are left out; an empty table gives no rows.
     """
+    keyed = _keyed(lines, raw, order)
+    joined = keyed.join(_clusters(keyed).select("length", "fresh", "leaf", "cluster", "template"), ["length", "fresh"])
+    return _mined_rows(joined)
+
+
+def mine_first(lines: DataFrame, raw: str = "raw_message", order: str = "ingest_seq") -> DataFrame:
+    """The rows of ``mine`` that are the first of their shape, the first line of each template among them: enough to approve parsers, without a
+    join and a typing of all lines."""
+    return _mined_rows(_clusters(_keyed(lines, raw, order)))
+
+
+def _keyed(lines: DataFrame, raw: str, order: str) -> DataFrame:
     toks = tokens(F.col(raw))
     rows = lines.where(F.coalesce(F.col(raw).rlike(r"\S"), F.lit(False))).select(F.col(order).cast("long").alias("id"), F.col(raw).alias("raw_message"), toks.alias("tokens"))
-    keyed = rows.withColumn("fresh", first_template(F.col("tokens"))).withColumn("length", F.size("tokens"))
-    shapes = keyed.groupBy("length", "fresh").agg(F.min(F.struct("id", "tokens")).alias("first"))
+    return rows.withColumn("fresh", first_template(F.col("tokens"))).withColumn("length", F.size("tokens"))
+
+
+def _clusters(keyed: DataFrame) -> DataFrame:
+    """(length, fresh, leaf, id, raw_message, cluster, template): each shape with its first line and its cluster."""
+    shapes = keyed.groupBy("length", "fresh").agg(F.min(F.struct("id", "tokens", "raw_message")).alias("first"))
     leaf = F.array_join(F.slice("fresh", 1, DEPTH), " ")
-    sent = materialised(shapes.select("length", leaf.alias("leaf"), F.col("first.id").alias("id"), F.col("first.tokens").alias("tokens"), "fresh"), "shapes")
-    dealt = sent.repartition("length", "leaf").sortWithinPartitions("length", "leaf", "id")
+    sent = materialised(shapes.select("length", leaf.alias("leaf"), F.col("first.id").alias("id"), F.col("first.tokens").alias("tokens"), "fresh", F.col("first.raw_message").alias("raw_message")), "shapes")
+    dealt = sent.select("length", "leaf", "id", "tokens", "fresh").repartition("length", "leaf").sortWithinPartitions("length", "leaf", "id")
     mined = materialised(dealt.mapInArrow(_mined, "length int, leaf string, id bigint, cluster int, template array<string>"), "mined")
     last = mined.groupBy("length", "leaf", "cluster").agg(F.max(F.struct("id", "template")).alias("last")).select("length", "leaf", "cluster", F.col("last.template").alias("template"))
     of_line = mined.select("length", "leaf", "id", "cluster").join(last, ["length", "leaf", "cluster"])
-    by_shape = materialised(sent.select("length", "leaf", "id", "fresh").join(of_line, ["length", "leaf", "id"]), "clusters")
-    joined = keyed.join(by_shape.select("length", "fresh", "leaf", "cluster", "template"), ["length", "fresh"])
+    return materialised(sent.select("length", "leaf", "id", "fresh", "raw_message").join(of_line, ["length", "leaf", "id"]), "clusters")
+
+
+def _mined_rows(rows: DataFrame) -> DataFrame:
     name = F.concat_ws("-", F.col("length").cast("string"), F.substring(F.sha2("leaf", 256), 1, 16), F.col("cluster").cast("string"))
-    return joined.select("id", "raw_message", name.alias("cluster"), F.array_join("template", " ").alias("template"))
+    return rows.select("id", "raw_message", name.alias("cluster"), F.array_join("template", " ").alias("template"))
 
 
 def templates(mined: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +94,17 @@ def normalize(raw: DataFrame, config: Config = Config(), rules: Sequence[sigma.S
     return raw
 
 
+def renormalize(normalized: DataFrame, dynamic: Sequence[Parser], config: Config = Config(), rules: Sequence[sigma.SigmaRule] = sigma.RULES) -> DataFrame:
+    """``normalized``, a written table, as ``normalize`` makes it of the same lines under the same settings and rules, with the dynamic parsers of today. All of them are asked
+    of every line; a line that none takes, and none took before, would come out as it is, so it stays. The others are parsed again."""
+    raw, fmt = F.col("raw_message"), F.coalesce(F.col("class.format"), F.lit("UNKNOWN"))
+    takes = [F.coalesce(p.takes(raw, fmt), F.lit(False)) for p in dynamic if p.active]
+    before = F.col("parser_name").isNotNull() & ~F.col("parser_name").isin(*[p.name for p in NATIVE])
+    again = F.coalesce(reduce(or_, takes, before), F.lit(False))
+    lines = normalized.where(again).select("raw_message", F.col("ingestion_source").alias("source"), "received_at", "ingest_seq")
+    return normalized.where(~again).unionByName(normalize(lines, config, rules, dynamic))
+
+
 def _steps(config: Config, rules: Sequence[sigma.SigmaRule], dynamic: Sequence[Parser], indexed: bool = False) -> _Steps:
     steps = _Steps()
     chosen = sorted((p for p in dynamic if p.active), key=lambda p: p.name)

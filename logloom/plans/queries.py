@@ -13,7 +13,7 @@ from logloom.functions.text import address_category, internal
 from logloom.operators import correlate, drift, export, infer, lineage, metrics, search, sigma
 from logloom.operators.classify import classify
 from logloom.operators.parsers.dynamic import DynamicParser, FieldMapping, dynamic
-from logloom.plans.normalize import events, normalize, quarantine, raw_hash
+from logloom.plans.normalize import events, normalize, quarantine, raw_hash, renormalize
 from logloom.plans.oracle import detected, expected, merkle
 from logloom.plans.raw_logs import raw_logs
 from logloom.sources.tables import materialised, shared_dir, table
@@ -415,10 +415,11 @@ def inf7_inference(spark, sf_dir):
 @query(expected("SELECT CASE WHEN kind = 7 THEN 'CUSTOM' ELSE format END AS format, CASE WHEN kind = 7 THEN 'NORMAL' ELSE code END AS code, count(*) AS n FROM e GROUP BY ALL"))
 def prs13_dynamic_parser(spark, sf_dir):
     """All lines again, with a parser that was inferred from the unknown ones and approved."""
-    unknown = quarantine(normalized(spark, sf_dir)).where("failure_code = 'UNPARSEABLE_FORMAT'")
+    before = normalized(spark, sf_dir)
+    unknown = quarantine(before).where("failure_code = 'UNPARSEABLE_FORMAT'")
     registry = infer.Registry()
-    infer.approve_all(infer.infer(infer.mine(unknown)), registry)
-    rows = normalize(raw_logs(spark, sf_dir), dynamic=registry.parsers())
+    infer.approve_all(infer.infer(infer.mine_first(unknown)), registry)
+    rows = renormalize(before, registry.parsers())
     return rows.groupBy("format", F.col("outcome.code").alias("code")).agg(F.count("*").alias("n"))
 
 

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from logloom.operators import infer
+from logloom.plans import more_queries  # noqa: F401  register more
 from logloom.plans.queries import QUERIES
 from logloom.plans.raw_logs import raw_logs
 
