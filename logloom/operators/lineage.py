@@ -112,8 +112,10 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
 def roots(leaves: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(batch_number, event_count, merkle_root)"""
     nodes = nodes if nodes is not None else tree_nodes(leaves)
-    top = nodes.groupBy("batch_number").agg(F.max_by("hash", "level").alias("merkle_root"), F.sum(F.when(F.col("level") == 0, 1)).alias("event_count"))
-    return top.select("batch_number", "event_count", "merkle_root")
+    # A root is the first node of its level. Spark sorts for the greatest of texts, so only first nodes, one a level, are asked; leaves are counted by hash.
+    top = nodes.where("`index` = 0").groupBy("batch_number").agg(F.max_by("hash", "level").alias("merkle_root"))
+    counts = nodes.where("level = 0").groupBy("batch_number").agg(F.count("*").alias("event_count"))
+    return top.join(counts, "batch_number", "left").select("batch_number", "event_count", "merkle_root")
 
 
 def _digest(a: str, b: str) -> str:
@@ -214,7 +216,7 @@ def leaf_records(leaves: DataFrame, normalized: DataFrame) -> DataFrame:
 
 def proofs_by_hash(leaves: DataFrame, wanted: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """For each wanted (batch_number, hash), in any case: the proof of the first leaf with that hash; an empty one where there is none."""
-    asked = wanted.select("batch_number", F.lower("hash").alias("hash")).distinct()
+    asked = materialised(wanted.select("batch_number", F.lower("hash").alias("hash")).distinct(), "asked")  # it may cost a pass over the leaves, and two joins read it
     # The wanted hashes are met by the leaves as they are; of equal leaves the first is found before the shuffle.
     first = leaves.withColumn("hash", F.lower("hash")).join(asked, ["batch_number", "hash"], "left_semi").groupBy("batch_number", "hash").agg(F.min("leaf_index").alias("leaf_index"))
     first = materialised(first, "first-leaves")
