@@ -48,7 +48,9 @@ _NONE = "CAST(NULL AS DOUBLE) AS average, CAST(NULL AS DOUBLE) AS p50, CAST(NULL
 def str2_running_metrics(spark, sf_dir):
     """Counters and the ring of latest values as keyed state of a stream of all lines."""
     values = table(spark, sf_dir, "events").select(F.col("event_id").alias("ingest_seq"), "value")
-    rows = normalized(spark, sf_dir).select("outcome", "format", "confidence_tier", "threat", "received_at", "ingest_seq").join(values, "ingest_seq")
+    # Alerts are counted, so of a match its rule is kept, and of an outcome its code: what goes through the join and the stream's files is narrow.
+    narrow = {"outcome": F.struct("outcome.code"), "threat": F.struct(F.transform("threat.sigma_matches", lambda m: m["rule_id"]).alias("sigma_matches"))}
+    rows = normalized(spark, sf_dir).select("outcome", "format", "confidence_tier", "threat", "received_at", "ingest_seq").withColumns(narrow).join(values, "ingest_seq")
     found = live.latest_metrics(_streamed(rows, lambda s: live.running_metrics(s, "value"), "metrics"))
     return found.withColumn("average", F.round("average", 6))
 
@@ -175,7 +177,7 @@ def src7_stored_rules(spark, sf_dir):
 def prs13_parser_index(spark, sf_dir):
     """All lines again, with a table of parsers, one for each template of the unknown lines, looked up by its index."""
     unknown = quarantine(normalized(spark, sf_dir)).where("failure_code = 'UNPARSEABLE_FORMAT'")
-    parsers = materialised(parser_index.approved(infer.infer(infer.mine(unknown))), "approvals")
+    parsers = materialised(parser_index.approved(infer.infer(infer.mine_first(unknown))), "approvals")
     rows = normalize(raw_logs(spark, sf_dir), index=parser_index.build(parsers))
     return rows.groupBy("format", F.col("outcome.code").alias("code")).agg(F.count("*").alias("n"))
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -42,9 +43,12 @@ def _task_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name in ("format", "tier", "outcome"):
             for pair in batch.column(name).value_counts().to_pylist():
                 counts[name, pair["values"]] += pair["counts"]
-        counts["outcome", "alerts"] += sum(x for x in batch.column("alerts").to_pylist() if x and x > 0)
-        rows = zip(*(batch.column(c).to_pylist() for c in ("at", "seq", "latency")), strict=True)
-        latest = heapq.nlargest(RING, [*latest, *((at, seq, v) for at, seq, v in rows if v is not None)])
+        alerts = batch.column("alerts")
+        counts["outcome", "alerts"] += pc.sum(alerts.filter(pc.greater(alerts, 0))).as_py() or 0
+        timed = batch.filter(pc.is_valid(batch.column("latency")))
+        if len(latest) == RING:  # what is older than all of the ring can't enter it
+            timed = timed.filter(pc.greater_equal(timed.column("at"), latest[-1][0]))
+        latest = heapq.nlargest(RING, [*latest, *zip(*(timed.column(c).to_pylist() for c in ("at", "seq", "latency")), strict=True)])
     rows = [(kind, name, n, None) for (kind, name), n in counts.items() if name is not None]
     if latest:
         rows.append(("latency", "latest", len(latest), [{"at": a, "seq": s, "value": v} for a, s, v in latest]))
